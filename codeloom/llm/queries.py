@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import language, packing, sharding, simhash
-from codeloom.llm.common import table
+from codeloom.llm import language, packing, sharding, simhash, suffix_dedup
+from codeloom.llm.common import arrow_rows, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -26,6 +26,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hashlib import sha256
+
+    def each(batch) -> dict:
+        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
+        for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
+            data = (text.as_py() or "").encode()
+            out["n_bytes"].append(len(data))
+            out["n_removed"].append(sum(s["end"] - s["start"] for s in spans))
+            out["n_spans"].append(len(spans))
+            out["kept_sha256"].append(sha256(suffix_dedup.kept(data, spans)).hexdigest())
+        return {"doc_id": batch.column(0)} | out
+
+    spans = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return arrow_rows(spans, ["doc_id", "text", "spans"], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", each)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +59,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash": op7_simhash,
     "op9_sharding": op9_sharding,
     "op10_language": op10_language,
