@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import language, packing, sharding, simhash, suffix_dedup
+from codeloom.llm import decontaminate, language, packing, quality, sharding, simhash, suffix_dedup, url_rules
 from codeloom.llm.common import arrow_rows, table
 
 
@@ -26,6 +26,22 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: The rules of the contract: verdict, host, path.
+GIVEN_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    bad = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).na.drop()
+    mined = url_rules.mine(pages.select(F.col("page_id").alias("id"), "url"), bad)
+    return url_rules.judge(pages, GIVEN_RULES, mined)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hashlib import sha256
 
@@ -47,6 +63,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), "doc_id", sharding.shard_names())
 
@@ -59,8 +79,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_url_rules": op3_url_rules,
+    "op5_quality": op5_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash": op7_simhash,
+    "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_language": op10_language,
 }
