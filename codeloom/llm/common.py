@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.runtime import ship
+
 #: Rows of text that one Arrow batch carries at most; long texts make a batch end earlier.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -21,6 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bound_batches(spark: SparkSession) -> None:
     """Python workers hold one batch of whole texts at a time, so its size is what bounds their memory."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
