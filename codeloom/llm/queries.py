@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate, language, packing, quality, sharding, simhash, suffix_dedup, url_rules
+from codeloom.llm import decontaminate, language, packing, quality, sharding, simhash, suffix_dedup, toxicity, url_rules
 from codeloom.llm.common import arrow_rows, table
 
 
@@ -37,6 +37,12 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, GIVEN_RULES, mined)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
+    return toxicity.score(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -80,6 +86,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_url_rules": op3_url_rules,
+    "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash": op7_simhash,
