@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate, language, packing, quality, sharding, simhash, suffix_dedup, toxicity, url_rules
+from codeloom.llm import decontaminate, extraction, language, packing, quality, sharding, simhash, suffix_dedup, toxicity, url_rules
 from codeloom.llm.common import arrow_rows, table
 
 
@@ -26,6 +26,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 #: The rules of the contract: verdict, host, path.
 GIVEN_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -85,6 +89,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_extraction": op2_extraction,
     "op3_url_rules": op3_url_rules,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
