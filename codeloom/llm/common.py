@@ -62,6 +62,22 @@ def arrow_rows(df: DataFrame, columns: list[str], schema: str, each: Callable[[p
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def first_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of the input cannot clash with computed ones."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def text_udf(spark: SparkSession, returns: str, each: Callable) -> Callable:
+    """A scalar Arrow function over columns: `each` gets one Python value of every column and returns one."""
+    import pandas as pd
+
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([each(*row) for row in zip(*columns)], dtype=object)
+
+    run.__annotations__ = {"columns": pd.Series, "return": pd.Series}
+    bound_batches(spark)
+    return F.pandas_udf(run, returns)
+
+
+#: Names of the columns that tell rows apart.
+KEY = ["__kid", "__kth"]
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """Adds what tells rows apart whatever the ids hold: the id (nulls as one value) and the text's hash."""
+    return docs.withColumn(KEY[0], F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn(KEY[1], F.xxhash64("text"))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import arrow_rows
+from codeloom.llm.common import arrow_rows, text_udf
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -131,7 +131,8 @@ def _blocks(benchmark: DataFrame, block: int) -> list[list[tuple]]:
         yield held
 
 
-def _match(docs: DataFrame, items: list[tuple], similarity: float) -> DataFrame:
+def _finder(docs: DataFrame, items: list[tuple], similarity: float):
+    """A function text -> [(item, windows, similarity, changed slots)], with the block of items broadcast."""
     hashes, owner, position = [], [], []
     for k, (_, token, _) in enumerate(items):
         h = windows(token)
@@ -170,11 +171,17 @@ def _match(docs: DataFrame, items: list[tuple], similarity: float) -> DataFrame:
                 out.append((k, len(where), float(len(where) / x["need"][k]), int(changed)))
         return out
 
+    return found
+
+
+def _match(docs: DataFrame, items: list[tuple], similarity: float) -> DataFrame:
+    found, ids = _finder(docs, items, similarity), [i for i, _, _ in items]
+
     def each(batch) -> dict:
         out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "n_windows", "similarity", "n_changed_slots")}
         for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):
             for k, n, s, c in found(t.as_py() or ""):
-                for name, v in zip(out, (doc, held.value["items"][k][0], n, s, c)):
+                for name, v in zip(out, (doc, ids[k], n, s, c)):
                     out[name].append(v)
         return out
 
@@ -190,3 +197,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """The rows, with all their columns, in which no benchmark item is found."""
+    for items in _blocks(benchmark, block):
+        if any(len(t) >= WORDS for _, t, _ in items):
+            found = _finder(docs, items, similarity)
+            docs = docs.where(text_udf(docs.sparkSession, "boolean", lambda text, found=found: not found(text or ""))("text"))
+    return docs

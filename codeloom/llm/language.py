@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import arrow_rows
+from codeloom.llm.common import arrow_rows, text_udf
 
 UND = "und"
 #: Rows of a language that the sample has on average at most, and languages that are learned at most.
@@ -118,22 +118,33 @@ def fit(docs: DataFrame, usable: Column, lang: str = "lang", per_lang: int = PER
     return train(rows, len(names)) | {"names": names}
 
 
+def answer(text: str | None, m: dict | None) -> tuple[str, float]:
+    """Language and calibrated probability of one text."""
+    d, c = ngrams(text) if m else ((), ())
+    if not len(d):
+        return UND, 0.0
+    p = softmax((weigh(d, c, m["idf"]) @ m["weights"][d] + m["bias"]) / m["temperature"])
+    k = int(p.argmax())
+    return m["names"][k], float(p[k])
+
+
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row's whole text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batch) -> dict:
-        m, out = held.value, {"doc_id": batch.column(0), "lang_pred": [], "score": []}
-        for t in batch.column(1):
-            d, c = ngrams(t.as_py()) if m else ((), ())
-            if not len(d):
-                out["lang_pred"].append(UND)
-                out["score"].append(0.0)
-                continue
-            p = softmax((weigh(d, c, m["idf"]) @ m["weights"][d] + m["bias"]) / m["temperature"])
-            k = int(p.argmax())
-            out["lang_pred"].append(m["names"][k])
-            out["score"].append(float(p[k]))
-        return out
+        made = [answer(t.as_py(), held.value) for t in batch.column(1)]
+        return {"doc_id": batch.column(0), "lang_pred": [a for a, _ in made], "score": [b for _, b in made]}
 
     return arrow_rows(docs, ["doc_id", "text"], "doc_id long, lang_pred string, score double", each)
+
+
+def identified(docs: DataFrame, model: dict | None, least: float = 0.0) -> DataFrame:
+    """The rows, with all their columns, whose language is found with a probability of at least `least`."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def each(text: str | None) -> bool:
+        lang, p = answer(text, held.value)
+        return lang != UND and p >= least
+
+    return docs.where(text_udf(docs.sparkSession, "boolean", each)("text"))

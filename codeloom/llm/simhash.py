@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import arrow_rows, cut
+from codeloom.llm.common import KEY, arrow_rows, cut, with_key
 from codeloom.llm.components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -194,10 +194,27 @@ def links(fps: DataFrame, budget: int = 2, subtrie: int = SUBTRIE) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, subtrie: int = SUBTRIE) -> DataFrame:
     """(doc_id, fingerprint hex, component_id) of every row."""
     own = cut(fingerprints(docs, words), "fingerprints")
-    classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = components(links(classes.select("fp"), budget, subtrie))
-    labelled = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = labelled.join(least, "label").select("fp", "component_id")
+    of = _least(own, "doc_id", budget, subtrie).withColumnRenamed("least", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return own.join(of, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def _least(own: DataFrame, key, budget: int, subtrie: int) -> DataFrame:
+    """(fp, least): for every distinct fingerprint, the least key of all rows in its component."""
+    classes = cut(own.groupBy("fp").agg(F.min(key).alias("key")), "classes")
+    found = components(links(classes.select("fp"), budget, subtrie))
+    labelled = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "key", F.coalesce("component", "fp").alias("label"))
+    return labelled.join(labelled.groupBy("label").agg(F.min("key").alias("least")), "label").select("fp", "least")
+
+
+def representatives(docs: DataFrame, words: int = 3, budget: int = 2, subtrie: int = SUBTRIE) -> DataFrame:
+    """One row, with all its columns, of each component: that with the least id (null ids first), then the least text hash."""
+    keyed = with_key(docs)
+
+    def each(batch) -> dict:
+        fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+        return {KEY[0]: batch.column(0), KEY[1]: batch.column(1), "fp": fps}
+
+    own = cut(arrow_rows(keyed, [*KEY, "text"], f"{KEY[0]} long, {KEY[1]} long, fp long", each), "fingerprints")
+    chosen = _least(own, F.struct(*KEY), budget, subtrie).select("least.*").distinct()
+    return keyed.join(chosen, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns)

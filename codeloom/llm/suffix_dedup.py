@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import arrow_rows, cut
+from codeloom.llm.common import KEY, arrow_rows, cut, text_udf, with_key
 from codeloom.llm.superwindows import ANCHOR, Hashes, runs
 
 SIZE = 400
@@ -108,11 +108,6 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text and what tells rows apart: the id (nulls as one value) and the text's hash."""
-    return docs.select("doc_id", "text").withColumn("kid", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("kth", F.xxhash64("text"))
-
-
 def _emitted(keyed: DataFrame, size: int) -> DataFrame:
     def each(batch) -> dict:
         cols: dict[str, list] = {k: [] for k in ("kid", "kth", "m", "t", "s", "n", "times", "at")}
@@ -127,7 +122,7 @@ def _emitted(keyed: DataFrame, size: int) -> DataFrame:
                 cols[k].append(v)
         return {k: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for k, v in cols.items()}
 
-    return arrow_rows(keyed, ["kid", "kth", "text"], "kid long, kth long, m long, t long, s long, n int, times int, at int", each)
+    return arrow_rows(keyed, [*KEY, "text"], "kid long, kth long, m long, t long, s long, n int, times int, at int", each)
 
 
 def _contents(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -135,7 +130,7 @@ def _contents(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     lists = wanted.groupBy("kid", "kth").agg(F.collect_list(F.struct("m", "t", "single", "hot", "s", "n")).alias("x"))
     lists = lists.select("kid", "kth", *[F.col(f"x.{c}").alias(c) for c in ("m", "t", "single", "hot", "s", "n")])
     # equal rows share a key: each row is fetched once
-    joined = keyed.select("kid", "kth", "text").join(lists, ["kid", "kth"])
+    joined = keyed.select(F.col(KEY[0]).alias("kid"), F.col(KEY[1]).alias("kth"), "text").join(lists, ["kid", "kth"])
 
     def each(batch) -> dict:
         out: dict[str, list] = {k: [] for k in ("m", "t", "single", "hot", "content")}
@@ -205,9 +200,8 @@ def _hashed_ranges(contents: DataFrame, size: int) -> DataFrame:
     return hit.select("m", "t", F.col("o").alias("first"), F.col("o").alias("last"))
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
-    """(doc_id, text, spans) of every row: the maximal byte ranges [start, end) to remove, in order."""
-    keyed = _with_key(docs)
+def _span_lists(keyed: DataFrame, size: int, group: int) -> DataFrame:
+    """Per key of a row that loses bytes: arrays a and b of the ranges [a, b) to remove, in any order."""
     emitted = cut(_emitted(keyed, size), "windows")
     run = emitted.groupBy("m", "t").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("kid", "kth", "s")).alias("of"), F.max("n").alias("n"), F.max("times").alias("times"), F.max("at").alias("at"))
     # a group is open if it has several suffixes and not all its runs are known as copies
@@ -223,16 +217,26 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> Dat
     spans = emitted.join(resolved, ["m", "t"]).select("kid", "kth", (F.col("s") + F.col("first")).alias("a"), (F.col("s") + F.col("last") + size).alias("b"))
     lists = spans.groupBy("kid", "kth").agg(F.collect_set(F.struct("a", "b")).alias("x"))
 
-    joined = keyed.join(lists, ["kid", "kth"], "left").select("doc_id", "text", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    return lists.select(F.col("kid").alias(KEY[0]), F.col("kth").alias(KEY[1]), F.col("x.a").alias("__a"), F.col("x.b").alias("__b"))
+
+
+def repeated_spans(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
+    """(doc_id, text, spans) of every row: the maximal byte ranges [start, end) to remove, in order."""
+    keyed = with_key(docs.select("doc_id", "text"))
+    joined = keyed.join(_span_lists(keyed, size, group), KEY, "left")
 
     def each(batch) -> dict:
         out = []
         for a, b in zip(batch.column(2), batch.column(3)):
             a, b = a.as_py(), b.as_py()
-            out.append([{"start": x, "end": y + 1} for x, y in merged([(x, y - 1) for x, y in zip(a, b)])] if a else [])
+            out.append(_spans(a, b))
         return {"doc_id": batch.column(0), "text": batch.column(1), "spans": out}
 
-    return arrow_rows(joined, ["doc_id", "text", "a", "b"], "doc_id long, text string, spans array<struct<start:long,end:long>>", each)
+    return arrow_rows(joined, ["doc_id", "text", "__a", "__b"], "doc_id long, text string, spans array<struct<start:long,end:long>>", each)
+
+
+def _spans(a, b) -> list[dict]:
+    return [{"start": x, "end": y + 1} for x, y in merged([(int(x), int(y) - 1) for x, y in zip(a, b)])] if a is not None else []
 
 
 def kept(data: bytes, spans: list[dict]) -> bytes:
@@ -242,3 +246,20 @@ def kept(data: bytes, spans: list[dict]) -> bytes:
         out.append(data[at : s["start"]])
         at = s["end"]
     return b"".join([*out, data[at:]])
+
+
+def without_repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
+    """The rows, with all their columns, without repeated strings in their text; n_chars is counted anew. A character that
+    loses some of its bytes goes; a row of whose text only white space is left goes."""
+    keyed = with_key(docs)
+
+    def each(text, a, b):
+        return kept(text.encode(), _spans(a, b)).decode("utf-8", "ignore")
+
+    strip = text_udf(docs.sparkSession, "string", each)
+    joined = keyed.join(_span_lists(keyed, size, group), KEY, "left")
+    # rows that lose nothing do not pass through Python
+    cut_rows = joined.where("__a is not null").withColumn("text", strip("text", "__a", "__b")).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    if "n_chars" in docs.columns:
+        cut_rows = cut_rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return joined.where("__a is null").select(*docs.columns).unionByName(cut_rows.select(*docs.columns))
