@@ -9,8 +9,8 @@ stack-scan of those gives the tree of intervals; inside an interval, the suffixe
 and where the left extensions stop to agree, a maximal repeat ends. Every occurrence of every maximal repeat of at least
 `size` bytes is marked, not only that of neighbours.
 
-A group with more than GROUP suffixes (a very frequent phrase in many contexts) is not given to one task: its windows are
-counted by their own hash, in a distributed sum. Contents are told apart by 64-bit hashes within their minimizer's 64-bit hash.
+A group with more than GROUP different runs or SUFFIXES suffixes (a very frequent phrase in many contexts) is not given to one
+task: its windows are counted by their own hash, in a distributed sum. Contents are told apart by 64-bit hashes within their minimizer's 64-bit hash.
 
 Defined cases: null texts are empty; texts shorter than `size` keep all; equal rows repeat each other; rows with the same id
 and other texts are told apart by the text's hash; an empty table gives an empty result; other columns are not read.
@@ -28,8 +28,8 @@ from codeloom.llm.common import KEY, arrow_rows, cut, text_udf, with_key
 from codeloom.llm.superwindows import ANCHOR, Hashes, runs
 
 SIZE = 400
-#: Suffixes that one task sorts together at most.
-GROUP = 8192
+#: Runs and suffixes that one task sorts together at most.
+GROUP, SUFFIXES = 8192, 200_000
 
 
 def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -55,41 +55,82 @@ def neighbours(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return order, np.minimum(shared, np.minimum(sizes[1:], sizes[:-1]))
 
 
-def maximal_repeats(texts: list[bytes], anchors: list[tuple[int, int]], size: int, left_most: int) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
-    """Groups of repeats of at least size bytes over the anchors (text, position): (bytes right of the anchor that all
-    share, [(text, position, bytes left of it shared with some other of the group)])."""
-    right, depth = neighbours([texts[t][p : p + size] for t, p in anchors], size)
-    left, agree = neighbours([texts[t][max(0, p - left_most) : p][::-1] for t, p in anchors], left_most)
+def maximal_repeats(rights: list[bytes], lefts: list[bytes], size: int, left_most: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Groups of repeats of at least size bytes over suffixes with what stands left of them (reversed): (bytes right of the
+    suffixes' start that all share, [(suffix, bytes left of it shared with some other of the group)])."""
+    index = np.arange(len(rights))
+    while len(index) > 1:
+        right, depth = neighbours([rights[k] for k in index], size)
+        left, agree = neighbours([lefts[k] for k in index], left_most)
+        # no partner shares more than a neighbour in the order does
+        best = np.zeros(len(index), dtype=np.int64)
+        best[right] = np.maximum(np.append(depth, 0), np.insert(depth, 0, 0))
+        widest = np.maximum(np.append(agree, 0), np.insert(agree, 0, 0))
+        best[left] += widest
+        stay = best >= size
+        if stay.all():
+            break
+        index = index[stay]
+    else:
+        return
     rank = np.empty(len(left), dtype=np.int64)
     rank[left] = np.arange(len(left))
-    most = int(agree.max())
+    # least of any range of `agree`, from tables of doubling spans
+    spans = [agree]
+    while 2 << (len(spans) - 1) <= len(agree):
+        half = 1 << (len(spans) - 1)
+        spans.append(np.minimum(spans[-1][:-half], spans[-1][half:]))
+    levels = [len(x) for x in spans]
+    starts = np.concatenate(([0], np.cumsum(levels)[:-1]))
+    table = np.concatenate(spans)
+    own_widest, sorted_rank = widest[rank[right]], rank[right]
     for d, first, last in intervals(depth.tolist()):
-        if d + most < size:
+        if d + own_widest[first : last + 1].max() < size:
             continue
-        own = np.sort(rank[right[first : last + 1]])
+        own = np.sort(sorted_rank[first : last + 1])
         # left-extension diversity: what neighbours in left order share before they differ
-        between = np.minimum.reduceat(np.append(agree, 0), own)[:-1]
+        level = np.frexp(np.diff(own).astype(np.float64))[1] - 1
+        between = np.minimum(table[starts[level] + own[:-1]], table[starts[level] + own[1:] - (1 << level)])
+        if d + between.max() < size:
+            continue
         longest = np.maximum(np.append(between, 0), np.insert(between, 0, 0))
         keep = np.flatnonzero(longest + d >= size)
-        if len(keep):
-            yield d, [(*anchors[left[own[k]]], int(longest[k])) for k in keep]
+        yield d, [(int(index[left[own[k]]]), int(longest[k])) for k in keep]
 
 
 def repeated_windows(texts: list[bytes], minimizer: int, single: list[int], size: int) -> dict[int, list[tuple[int, int]]]:
     """Text -> ranges (first, last) of windows that also start elsewhere in the group. single: the minimizer's only
-    position in the text, or -1 if it has several."""
-    anchors = []
+    position in the text, or -1 if it has several. A window belongs to the first minimizer in it, so what stands left of a
+    suffix ends before the minimizer that comes before."""
+    known: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
     for k, (text, p) in enumerate(zip(texts, single)):
         if p >= 0:
-            anchors.append((k, p))
+            at = [p]
         else:
             grams = Hashes(np.frombuffer(text, dtype=np.uint8)).all(ANCHOR)
-            anchors += [(k, int(x)) for x in np.flatnonzero(grams == np.uint64(minimizer))]
+            at = np.flatnonzero(grams == np.uint64(minimizer)).tolist()
+        before = -1
+        for p in at:
+            left = text[max(before + 1, p - size + ANCHOR) : p][::-1]
+            right = text[p : p + size]
+            if len(left) + len(right) >= size:
+                known.setdefault((right, left), []).append((k, p))
+            before = p
     found: dict[int, list[tuple[int, int]]] = {}
-    if len(anchors) > 1:
-        for d, group in maximal_repeats(texts, anchors, size, size - ANCHOR):
-            for t, p, longest in group:
-                found.setdefault(t, []).append((p - longest, p - max(0, size - d)))
+
+    def mark(places: list[tuple[int, int]], shared: int, longest: int) -> None:
+        for t, p in places:
+            found.setdefault(t, []).append((p - longest, p - max(0, size - shared)))
+
+    suffixes = list(known.items())
+    for (right, left), places in suffixes:
+        if len(places) > 1:  # the same on both sides: every window here is repeated
+            mark(places, len(right), len(left))
+    if len(suffixes) > 1:
+        for d, group in maximal_repeats([x[0][0] for x in suffixes], [x[0][1] for x in suffixes], size, size - ANCHOR):
+            for k, longest in group:
+                if len(suffixes[k][1]) == 1:
+                    mark(suffixes[k][1], d, longest)
     return {t: merged(x) for t, x in found.items()}
 
 
@@ -205,9 +246,9 @@ def _span_lists(keyed: DataFrame, size: int, group: int) -> DataFrame:
     emitted = cut(_emitted(keyed, size), "windows")
     run = emitted.groupBy("m", "t").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("kid", "kth", "s")).alias("of"), F.max("n").alias("n"), F.max("times").alias("times"), F.max("at").alias("at"))
     # a group is open if it has several suffixes and not all its runs are known as copies
-    groups = run.groupBy("m").agg(F.sum("times").alias("suffixes"), F.min("copies").alias("least")).where("suffixes > 1 and least = 1")
+    groups = run.groupBy("m").agg(F.count(F.lit(1)).alias("runs"), F.sum("times").alias("suffixes"), F.min("copies").alias("least")).where("suffixes > 1 and least = 1")
     single = F.when(F.col("times") == 1, F.col("at")).otherwise(-1)
-    wanted = run.join(groups, "m").select("m", "t", single.alias("single"), (F.col("suffixes") > group).alias("hot"), "of.kid", "of.kth", "of.s", "n")
+    wanted = run.join(groups, "m").select("m", "t", single.alias("single"), ((F.col("runs") > group) | (F.col("suffixes") > SUFFIXES)).alias("hot"), "of.kid", "of.kth", "of.s", "n")
     contents = cut(_contents(keyed, wanted, size), "contents")
     ranges = _tree_ranges(contents.where("not hot"), size)
     if contents.where("hot").limit(1).count():
