@@ -16,4 +16,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, usa
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = F.pmod(F.xxhash64("doc_id", F.lit(f"{label} sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("label") == 1, F.lit(per_class / max(1, sizes.get(1, 0)))).otherwise(F.lit(per_class / max(1, sizes.get(0, 0))))
-    return docs.select("doc_id", "text").join(known.where(part < share), "doc_id").select("text", "label"), sizes
+    # about 2 * per_class ids, whatever the number of labels: that bounds what is broadcast, and no text is shuffled
+    return docs.select("doc_id", "text").join(F.broadcast(known.where(part < share)), "doc_id").select("text", "label"), sizes
