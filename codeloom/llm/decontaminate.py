@@ -39,14 +39,21 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lexicon(dict):
-    """Raw word -> (hash of the bare lower-case word, kind, capitalised, ends a sentence); None for words without letters
-    or digits. Words met last are kept."""
+    """Raw word -> row of `table`, whose columns are the hash of the bare lower-case word, its kind, whether it is capitalised
+    and whether it ends a sentence. Row 0 is for words without letters or digits. Words met last are kept."""
 
     MOST = 200_000
 
-    def __missing__(self, raw: str):
-        if len(self) >= self.MOST:
-            self.clear()
+    def __init__(self):
+        super().__init__()
+        self._restart()
+
+    def _restart(self) -> None:
+        self.clear()
+        self.values, self.traits = np.zeros(1024, dtype=np.uint64), np.zeros((1024, 3), dtype=np.int8)
+        self.n = 1
+
+    def __missing__(self, raw: str) -> int:
         a, b = 0, len(raw)
         while a < b and not raw[a].isalnum():
             a += 1
@@ -54,27 +61,36 @@ class Lexicon(dict):
             b -= 1
         bare = raw[a:b]
         if not bare:
-            self[raw] = None
-            return None
+            self[raw] = 0
+            return 0
         low = bare.lower()
         kind = NUMBER if NUMERIC.fullmatch(bare) or low in NUMBER_WORDS else UNIT if low in UNITS else 0
         data = low.encode("utf-8", "surrogatepass")
-        h = (zlib.crc32(data) << 32 | zlib.adler32(data) ^ len(data)) & 0x7FFFFFFFFFFFFFFF | 16
-        self[raw] = value = (h, kind, bare[0].isupper() and bare[1:].islower(), raw[-1] in ".!?:;\"”»")
-        return value
+        if self.n == len(self.values):
+            self.values, self.traits = np.concatenate((self.values, np.zeros_like(self.values))), np.concatenate((self.traits, np.zeros_like(self.traits)))
+        self.values[self.n] = (zlib.crc32(data) << 32 | zlib.adler32(data) ^ len(data)) & 0x7FFFFFFFFFFFFFFF | 16
+        self.traits[self.n] = kind, bare[0].isupper() and bare[1:].islower(), raw[-1] in ".!?:;\"”»"
+        self[raw] = self.n
+        self.n += 1
+        return self.n - 1
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        if self.n > self.MOST:
+            self._restart()
+        x = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return x[x > 0]
 
 
 def canonical(text: str, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Template tokens (a placeholder's number or a word's hash) and, beside them, each token's own value."""
-    known = [x for x in map(lexicon.__getitem__, text.split()) if x]
-    if not known:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-    value, kind, upper, ends = (np.array(x) for x in zip(*known))
-    value = value.astype(np.uint64)
-    inside = np.r_[False, ~ends[:-1]]
+    rows = lexicon.rows(text.split())
+    value, (kind, upper, ends) = lexicon.values[rows], lexicon.traits[rows].T
+    if not len(rows):
+        return value, value
+    inside = np.r_[False, ends[:-1] == 0]
     after_number = np.r_[False, kind[:-1] == NUMBER]
     token = value.copy()
-    token[(kind == 0) & upper & inside] = NAME
+    token[(kind == 0) & (upper == 1) & inside] = NAME
     token[kind == NUMBER] = NUMBER
     token[(kind == UNIT) & after_number] = UNIT
     return token, value
