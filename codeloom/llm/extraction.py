@@ -7,8 +7,9 @@ the class that covers most pages is the root of the host's template, and a valid
 another is nested in that slot. Text tokens of the template are boilerplate. The slots keep what differs from page to page; the
 slot with most text outside links is the main one, which decides for pages whose markup does not name the article.
 
-Statistics are sums per host and token, aggregated before the shuffle; the templates are joined to pages by host and salt, so a
-host with a third of all pages is no hot key.
+Statistics are sums per host and token, aggregated before the shuffle. The templates are counted: up to MOST_BROADCAST entries
+they are broadcast and no page is shuffled; beyond that they are joined to pages by host and salt, so a host with a third of all
+pages is no hot key.
 
 Defined cases: null and empty pages give an empty text; pages without host form one group of their own; equal pages get equal
 texts; cut-off pages keep what they have; pages without any template or article use their own fullest container; an empty table
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import arrow_rows
+from codeloom.llm.common import arrow_rows, cut
 from codeloom.llm.html_blocks import Block, blocks
 from codeloom.llm.url_rules import host_and_path
 
@@ -31,6 +32,8 @@ from codeloom.llm.url_rules import host_and_path
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 8, 0.3, 2
 IN_ARTICLE_SHARE, MOST_OF_ARTICLE = 0.8, 0.5
 SALTS = 64
+#: Template entries (8 bytes each) that are broadcast at most.
+MOST_BROADCAST = 1_000_000
 
 
 def _hash(kind: str, path: str, text: str = "") -> int:
@@ -80,7 +83,8 @@ def templates(pages: DataFrame) -> DataFrame:
     paths that hold the main slot, fullest first."""
     stats = _statistics(pages)
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).where(F.col("host_pages") >= LEAST_PAGES)
-    frequent = stats.join(hosts, "host").where(F.col("pages") >= F.greatest(F.lit(LEAST_PAGES // 2), F.ceil(LEAST_SHARE * F.col("host_pages"))))
+    # what is on few pages goes before the join, so a host with many pages brings few rows
+    frequent = stats.where(F.col("pages") >= LEAST_PAGES // 2).join(hosts, "host").where(F.col("pages") >= F.greatest(F.lit(LEAST_PAGES // 2), F.ceil(LEAST_SHARE * F.col("host_pages"))))
     # an equivalence class: tokens of a host with one occurrence vector
     classes = frequent.groupBy("host", "host_pages", "pages", "vector").agg(F.collect_list(F.struct("position", "token", "kind", "chars", "links")).alias("tokens"), F.min("position").alias("low"), F.max("position").alias("high"))
     valid = classes.where(F.size("tokens") >= LEAST_TOKENS)
@@ -123,13 +127,17 @@ def choose(found: list[Block], boilerplate: set[int], frequent: set[int], main:
     return [b.text for b in rest if (b.path + ">").startswith(inside + ">") and b.links * 2 <= len(b.text)] or [b.text for b in rest]
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(page_id, url, text) of every page."""
     host, _ = host_and_path(F.col("url"))
     keyed = pages.select("page_id", "url", "html", host.alias("host"))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    known = templates(keyed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(known, ["host", "salt"], "left")
+    known = cut(templates(keyed), "templates")
+    entries = known.agg(F.sum(F.size("boilerplate") + F.size("frequent") + F.size("main") + 8)).first()[0] or 0
+    if entries <= most_broadcast:
+        joined = keyed.join(F.broadcast(known), "host", "left")
+    else:
+        salted = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
 
     def each(batch) -> dict:
         out = []
