@@ -38,47 +38,53 @@ UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles g kg m
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Lexicon(dict):
-    """Raw word -> row of `table`, whose columns are the hash of the bare lower-case word, its kind, whether it is capitalised
+class Lexicon:
+    """Raw word -> row of `values` and `traits`: the hash of the bare lower-case word, its kind, whether it is capitalised
     and whether it ends a sentence. Row 0 is for words without letters or digits. Words met last are kept."""
 
-    MOST = 200_000
+    MOST = 500_000
 
     def __init__(self):
-        super().__init__()
         self._restart()
 
     def _restart(self) -> None:
-        self.clear()
+        self.known: dict[str, int] = {}
         self.values, self.traits = np.zeros(1024, dtype=np.uint64), np.zeros((1024, 3), dtype=np.int8)
         self.n = 1
 
-    def __missing__(self, raw: str) -> int:
+    def _add(self, raw: str) -> int:
         a, b = 0, len(raw)
-        while a < b and not raw[a].isalnum():
-            a += 1
-        while b > a and not raw[b - 1].isalnum():
-            b -= 1
+        if not raw.isalnum():
+            while a < b and not raw[a].isalnum():
+                a += 1
+            while b > a and not raw[b - 1].isalnum():
+                b -= 1
         bare = raw[a:b]
         if not bare:
-            self[raw] = 0
+            self.known[raw] = 0
             return 0
         low = bare.lower()
-        kind = NUMBER if NUMERIC.fullmatch(bare) or low in NUMBER_WORDS else UNIT if low in UNITS else 0
+        kind = UNIT if low in UNITS else NUMBER if low in NUMBER_WORDS or (not low.isalpha() and NUMERIC.fullmatch(bare)) else 0
         data = low.encode("utf-8", "surrogatepass")
         if self.n == len(self.values):
             self.values, self.traits = np.concatenate((self.values, np.zeros_like(self.values))), np.concatenate((self.traits, np.zeros_like(self.traits)))
         self.values[self.n] = (zlib.crc32(data) << 32 | zlib.adler32(data) ^ len(data)) & 0x7FFFFFFFFFFFFFFF | 16
         self.traits[self.n] = kind, bare[0].isupper() and bare[1:].islower(), raw[-1] in ".!?:;\"”»"
-        self[raw] = self.n
+        self.known[raw] = self.n
         self.n += 1
         return self.n - 1
 
     def rows(self, words: list[str]) -> np.ndarray:
-        if self.n > self.MOST:
+        if len(self.known) > self.MOST:
             self._restart()
-        x = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return x[x > 0]
+        x = list(map(self.known.get, words))
+        if None in x:
+            for k, w in enumerate(words):
+                if x[k] is None:
+                    got = self.known.get(w)
+                    x[k] = self._add(w) if got is None else got
+        rows = np.array(x, dtype=np.int64)
+        return rows[rows > 0]
 
 
 def canonical(text: str, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
