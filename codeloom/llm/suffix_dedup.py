@@ -21,10 +21,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import KEY, arrow_rows, cut, text_udf, with_key
+from codeloom.llm.common import KEY, arrow_rows, bound_batches, cut, with_key
 from codeloom.llm.superwindows import ANCHOR, Hashes, runs
 
 SIZE = 400
@@ -293,14 +294,24 @@ def without_repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> Da
     """The rows, with all their columns, without repeated strings in their text; n_chars is counted anew. A character that
     loses some of its bytes goes; a row of whose text only white space is left goes."""
     keyed = with_key(docs)
+    joined = keyed.join(_span_lists(keyed, size, group), KEY, "left").select(*docs.columns, "__a", "__b")
+    names = docs.columns
 
-    def each(text, a, b):
-        return kept(text.encode(), _spans(a, b)).decode("utf-8", "ignore")
-
-    strip = text_udf(docs.sparkSession, "string", each)
-    joined = keyed.join(_span_lists(keyed, size, group), KEY, "left")
-    # rows that lose nothing do not pass through Python
-    cut_rows = joined.where("__a is not null").withColumn("text", strip("text", "__a", "__b")).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
-    if "n_chars" in docs.columns:
-        cut_rows = cut_rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where("__a is null").select(*docs.columns).unionByName(cut_rows.select(*docs.columns))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = {n: b.column(k) for k, n in enumerate(names)}
+            hit = np.flatnonzero(b.column(len(names)).is_valid())
+            texts, keep = own["text"].to_pylist(), np.ones(len(b), dtype=bool)
+            counts = own["n_chars"].to_pylist() if "n_chars" in own else None
+            for k in hit.tolist():
+                texts[k] = kept(texts[k].encode(), _spans(b.column(len(names))[k].as_py(), b.column(len(names) + 1)[k].as_py())).decode("utf-8", "ignore")
+                keep[k] = bool(texts[k].strip())
+                if counts:
+                    counts[k] = len(texts[k])
+            own["text"] = pa.array(texts, type=own["text"].type)
+            if counts:
+                own["n_chars"] = pa.array(counts, type=own["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([own[n] for n in names], names=names).filter(pa.array(keep))
+
+    bound_batches(docs.sparkSession)
+    return joined.mapInArrow(run, docs.schema)
