@@ -38,11 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+#: Bytes of input behind one written file: far fewer files than tasks of small splits would leave.
+FILE_BYTES = 64 << 20
+
+
+def compact(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df in as many partitions as its source's files fill FILE_BYTES, in whole waves of the cluster's cores; a merge of
+    neighbouring partitions without a shuffle."""
+    spark = df.sparkSession
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # an unknown size is huge, and merging into more partitions than there are changes nothing
+    return df.coalesce(min(1_000_000, cores * max(1, -(-size // (FILE_BYTES * cores)))))
+
+
+def cut(df: DataFrame, label: str, source: DataFrame | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the lineage ends there, and what is
-    computed once stays readable when executors are lost."""
+    computed once stays readable when executors are lost. With a source, its size decides the number of files."""
     path = f"{shared_dir(df.sparkSession)}/codeloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if source is None else compact(df, source)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -171,4 +171,4 @@ def place(parts: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return place(cut(pieces(docs, tokenizer, window), "pieces"), window)
+    return place(cut(pieces(docs, tokenizer, window), "pieces", docs), window)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import KEY, arrow_rows, cut, with_key
+from codeloom.llm.common import KEY, arrow_rows, compact, cut, with_key
 from codeloom.llm.components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -193,7 +193,7 @@ def links(fps: DataFrame, budget: int = 2, subtrie: int = SUBTRIE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, subtrie: int = SUBTRIE) -> DataFrame:
     """(doc_id, fingerprint hex, component_id) of every row."""
-    own = cut(fingerprints(docs, words), "fingerprints")
+    own = cut(fingerprints(docs, words), "fingerprints", docs)
     of = _least(own, "doc_id", budget, subtrie).withColumnRenamed("least", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return own.join(of, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
@@ -215,6 +215,6 @@ def representatives(docs: DataFrame, words: int = 3, budget: int = 2, subtrie: i
         fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
         return {KEY[0]: batch.column(0), KEY[1]: batch.column(1), "fp": fps}
 
-    own = cut(arrow_rows(keyed, [*KEY, "text"], f"{KEY[0]} long, {KEY[1]} long, fp long", each), "fingerprints")
+    own = cut(arrow_rows(keyed, [*KEY, "text"], f"{KEY[0]} long, {KEY[1]} long, fp long", each), "fingerprints", docs)
     chosen = _least(own, F.struct(*KEY), budget, subtrie).select("least.*").distinct()
-    return keyed.join(chosen, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns)
+    return compact(keyed.join(chosen, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns), docs)

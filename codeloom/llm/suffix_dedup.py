@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import KEY, arrow_rows, bound_batches, cut, with_key
+from codeloom.llm.common import KEY, arrow_rows, bound_batches, compact, cut, with_key
 from codeloom.llm.superwindows import ANCHOR, Hashes, runs
 
 SIZE = 400
@@ -244,13 +244,13 @@ def _hashed_ranges(contents: DataFrame, size: int) -> DataFrame:
 
 def _span_lists(keyed: DataFrame, size: int, group: int) -> DataFrame:
     """Per key of a row that loses bytes: arrays a and b of the ranges [a, b) to remove, in any order."""
-    emitted = cut(_emitted(keyed, size), "windows")
+    emitted = cut(_emitted(keyed, size), "windows", keyed)
     run = emitted.groupBy("m", "t").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("kid", "kth", "s")).alias("of"), F.max("n").alias("n"), F.max("times").alias("times"), F.max("at").alias("at"))
     # a group is open if it has several suffixes and not all its runs are known as copies
     groups = run.groupBy("m").agg(F.count(F.lit(1)).alias("runs"), F.sum("times").alias("suffixes"), F.min("copies").alias("least")).where("suffixes > 1 and least = 1")
     single = F.when(F.col("times") == 1, F.col("at")).otherwise(-1)
     wanted = run.join(groups, "m").select("m", "t", single.alias("single"), ((F.col("runs") > group) | (F.col("suffixes") > SUFFIXES)).alias("hot"), "of.kid", "of.kth", "of.s", "n")
-    contents = cut(_contents(keyed, wanted, size), "contents")
+    contents = cut(_contents(keyed, wanted, size), "contents", keyed)
     ranges = _tree_ranges(contents.where("not hot"), size)
     if contents.where("hot").limit(1).count():
         ranges = ranges.union(_hashed_ranges(contents.where("hot"), size))
@@ -314,4 +314,4 @@ def without_repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> Da
             yield pa.RecordBatch.from_arrays([own[n] for n in names], names=names).filter(pa.array(keep))
 
     bound_batches(docs.sparkSession)
-    return joined.mapInArrow(run, docs.schema)
+    return compact(joined.mapInArrow(run, docs.schema), docs)
