@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import decontaminate, language, packing, simhash, suffix_dedup
-from codeloom.llm.common import cut, table
+from codeloom.llm.common import compact, cut, table
 from codeloom.llm.queries import tokenizer_path
 
 #: Least probability with which a document's language must be found.
@@ -19,7 +19,7 @@ LEAST_LANGUAGE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or with no language that is likely enough."""
-    return language.identified(docs, language.fit(docs, F.lit(True)), LEAST_LANGUAGE)
+    return compact(language.identified(docs, language.fit(docs, F.lit(True)), LEAST_LANGUAGE), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold an item of the benchmark."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    return compact(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
