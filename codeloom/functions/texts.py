@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.kernels import LEAST_STEM, STOPWORDS, SUFFIXES
@@ -109,3 +109,18 @@ def cosine(a, b) -> Column:
 def route(score, tau_high: float, tau_low: float) -> Column:
     s = _col(score)
     return F.when(s >= tau_high, F.lit("MERGE")).when(s < tau_low, F.lit("CREATE")).otherwise(F.lit("JUDGE"))
+
+
+#: Characters that a text is cut into before its runs are taken: finding a place in a text costs its distance from the start.
+GRAM_BLOCK = 1000
+
+
+def char_grams(rows: DataFrame, key: str, text: str, n: Column | int) -> DataFrame:
+    """(key, at, h): offset and hash of every run of n characters of a text; a shorter text is one run. Linear in the text."""
+    n = F.lit(n) if isinstance(n, int) else n
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.length(text) - n) / GRAM_BLOCK).cast("int"))
+    parts = F.transform(blocks, lambda k: F.substring(F.col(text), k * GRAM_BLOCK + 1, n + F.lit(GRAM_BLOCK - 1)))
+    cut = rows.where(F.length(text) > 0).select(F.col(key).alias("__key"), n.alias("__n"), F.posexplode(parts).alias("__block", "__part"))
+    size = F.col("__n")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__part") - size + 1)), lambda k: F.xxhash64(F.substring(F.col("__part"), k, size)))
+    return cut.select("__key", "__block", F.posexplode(runs).alias("__at", "h")).select(F.col("__key").alias(key), (F.col("__block") * GRAM_BLOCK + F.col("__at")).cast("int").alias("at"), "h")

@@ -93,28 +93,44 @@ def s4_clusters(spans: DataFrame, rules: CodingRules = CodingRules()) -> DataFra
     limit, least = rules.max_codes_per_segment, rules.segment_overlap
     kind = spans.schema["response_id"].dataType.simpleString()
 
-    def cluster(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["start", "end", "code"]).reset_index(drop=True)
-        s, e = p["start"].to_numpy(), p["end"].to_numpy()
-        parent = list(range(len(p)))
+    def clusters(rows: list[tuple]) -> list[tuple[int, int]]:
+        """(least span, codes) of each cluster of one response's (start, end, code), in order."""
+        parent = list(range(len(rows)))
 
         def root(k):
             while parent[k] != k:
                 k = parent[k]
             return k
 
-        for i in range(len(p)):
-            for j in range(i + 1, len(p)):
-                if s[j] >= e[i]:
+        for i, (s1, e1, _) in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                s2, e2, _ = rows[j]
+                if s2 >= e1:
                     break
-                both = min(e[i], e[j]) - max(s[i], s[j])
-                if both >= least * ((e[i] - s[i]) + (e[j] - s[j]) - both):
+                both = min(e1, e2) - max(s1, s2)
+                if both >= least * ((e1 - s1) + (e2 - s2) - both):
                     a, b = root(i), root(j)
                     parent[max(a, b)] = min(a, b)
-        out = p.assign(cluster=[root(k) for k in range(len(p))]).groupby("cluster")["code"].nunique()
-        return pd.DataFrame([(p["response_id"].iloc[0], int(c), int(n)) for c, n in out.items() if n > limit], columns=["response_id", "cluster", "n_codes"])
-
-    return spans.select("response_id", "code", "start", "end").groupBy("response_id").applyInPandas(cluster, f"response_id {kind}, cluster int, n_codes int")
+        codes: dict[int, set] = {}
+        for k, (_, _, c) in enumerate(rows):
+            codes.setdefault(root(k), set()).add(c)
+        return [(c, len(x)) for c, x in codes.items() if len(x) > limit]
+
+    def run(batches):
+        """Batches come sorted by response; one that a batch's end cuts waits for its rest."""
+        key, rows = None, []
+        for b in batches:
+            out = []
+            for r, s, e, c in zip(b["response_id"].tolist(), b["start"].tolist(), b["end"].tolist(), b["code"].tolist()):
+                if r != key:
+                    out += [(key, *x) for x in clusters(rows)]
+                    key, rows = r, []
+                rows.append((s, e, c))
+            yield pd.DataFrame(out, columns=["response_id", "cluster", "n_codes"])
+        yield pd.DataFrame([(key, *x) for x in clusters(rows)], columns=["response_id", "cluster", "n_codes"])
+
+    dealt = spans.select("response_id", "code", "start", "end").repartition("response_id").sortWithinPartitions("response_id", "start", "end", "code")
+    return dealt.mapInPandas(run, f"response_id {kind}, cluster int, n_codes int")
 
 
 def s4_pairs(spans: DataFrame, rules: CodingRules = CodingRules()) -> DataFrame:

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.texts import squeeze
+from codeloom.functions.texts import char_grams, squeeze
 
 SHINGLE = 20
 
 
 def _shingles(texts: DataFrame, key: str, n: int) -> DataFrame:
-    x = texts.select(F.col(key).alias("key"), F.lower(squeeze("text")).alias("t")).where("t <> ''")
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - n + 1))
-    return x.select("key", F.posexplode(F.transform(at, lambda k: F.xxhash64(F.substring(F.col("t"), k, F.lit(n))))).alias("at", "h"))
+    return char_grams(texts.select(F.col(key).alias("key"), F.lower(squeeze("text")).alias("t")), "key", "t", n)
 
 
 def first_hits(texts: DataFrame, withheld: DataFrame, key: str, n: int = SHINGLE) -> DataFrame:

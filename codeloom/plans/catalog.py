@@ -109,22 +109,21 @@ def family_cooccurrence(spark, d):
 PAIRS = "pr AS (SELECT x.code AS code_a, y.code AS code_b, count(*) AS support FROM a x JOIN a y USING (response_id) WHERE x.code < y.code GROUP BY 1, 2 HAVING count(*) >= 2)"
 
 
-@query(f"WITH {A}, {FREQ}, {PAIRS} SELECT code_a, code_b, support, round(support / n, 6) AS share, round((support / n) / ((fa.n_responses / n) * (fb.n_responses / n)), 6) AS lift FROM pr JOIN f fa ON fa.code = code_a JOIN f fb ON fb.code = code_b, u")
+@query(f"WITH {A}, {FREQ}, {PAIRS} SELECT code_a, code_b, support, round(support / n, 6) AS share, (support / n) / ((fa.n_responses / n) * (fb.n_responses / n)) AS lift FROM pr JOIN f fa ON fa.code = code_a JOIN f fb ON fb.code = code_b, u")
 def pair_cooccurrence(spark, d):
-    return _rounded(occurrence.frequent_pairs(_occ(spark, d), 2), "share", "lift")
+    return _rounded(occurrence.frequent_pairs(_occ(spark, d), 2), "share")
 
 
-@query(f"WITH {B}, {FREQ}, {PAIRS} SELECT code_a, code_b, support, round(support / n, 6) AS share, round((support / n) / ((fa.n_responses / n) * (fb.n_responses / n)), 6) AS lift FROM pr JOIN f fa ON fa.code = code_a JOIN f fb ON fb.code = code_b, u")
+@query(f"WITH {B}, {FREQ}, {PAIRS} SELECT code_a, code_b, support, round(support / n, 6) AS share, (support / n) / ((fa.n_responses / n) * (fb.n_responses / n)) AS lift FROM pr JOIN f fa ON fa.code = code_a JOIN f fb ON fb.code = code_b, u")
 def basket_pairs(spark, d):
-    return _rounded(occurrence.frequent_pairs(occurrence.occurrence(t.baskets(spark, d)), 2), "share", "lift")
+    return _rounded(occurrence.frequent_pairs(occurrence.occurrence(t.baskets(spark, d)), 2), "share")
 
 
 @query(f"""WITH {B}, {FREQ}, {PAIRS}, cand AS (SELECT ab.code_a, ab.code_b, ac.code_b AS code_c, least(ab.support, ac.support, bc.support) AS bound FROM pr ab JOIN pr ac ON ab.code_a = ac.code_a AND ab.code_b < ac.code_b JOIN pr bc ON bc.code_a = ab.code_b AND bc.code_b = ac.code_b ORDER BY bound DESC, 1, 2, 3 LIMIT 20000),
 s AS (SELECT code_a, code_b, code_c, count(*) AS support FROM cand JOIN a x ON x.code = code_a JOIN a y ON y.code = code_b AND y.response_id = x.response_id JOIN a z ON z.code = code_c AND z.response_id = x.response_id GROUP BY 1, 2, 3 HAVING count(*) >= 2)
-SELECT code_a, code_b, code_c, support, round(support / n, 6) AS share, round((support / n) / ((fa.n_responses / n) * (fb.n_responses / n) * (fc.n_responses / n)), 4) AS lift FROM s JOIN f fa ON fa.code = code_a JOIN f fb ON fb.code = code_b JOIN f fc ON fc.code = code_c, u""")
+SELECT code_a, code_b, code_c, support, round(support / n, 6) AS share, (support / n) / ((fa.n_responses / n) * (fb.n_responses / n) * (fc.n_responses / n)) AS lift FROM s JOIN f fa ON fa.code = code_a JOIN f fb ON fb.code = code_b JOIN f fc ON fc.code = code_c, u""")
 def basket_triples(spark, d):
-    x = occurrence.frequent_triples(occurrence.occurrence(t.baskets(spark, d)), 2)
-    return x.withColumns({"share": F.round("share", 6), "lift": F.round("lift", 4)})
+    return _rounded(occurrence.frequent_triples(occurrence.occurrence(t.baskets(spark, d)), 2), "share")
 
 
 SIGNATURE = "sg AS (SELECT response_id, string_agg(code, '|' ORDER BY code) AS signature FROM (SELECT DISTINCT response_id, split_part(code, '-', 1) AS code FROM a) GROUP BY response_id)"
