@@ -57,7 +57,9 @@ def chains(codes: DataFrame, most: int = 20) -> DataFrame:
     ids = codes.select(F.col("code_id").alias("up"))
     # a parent that does not exist ends the chain
     at = known.join(ids.withColumn("there", F.lit(True)), "up", "left").select("code_id", F.when(F.col("there"), F.col("up")).alias("up"), F.when(F.col("there"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("steps"))
+    kept = bool(codes.sparkSession.sparkContext.getCheckpointDir())
     for _ in range(max(1, most.bit_length())):
+        at = at.checkpoint() if kept else at.persist()  # each step reads the last one twice
         jump = at.select(F.col("code_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
         at = at.join(jump, "up", "left").select("code_id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
     return at.select("code_id", F.when(F.col("up").isNull(), F.col("steps") + 1).alias("depth"), F.col("up").isNotNull().alias("cyclic"))

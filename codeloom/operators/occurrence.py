@@ -98,8 +98,11 @@ def frequent_triples(occ: DataFrame, min_support: int = 2, most: int = 20_000) -
     ranked = ab.join(ac, "code_a").where("code_b < code_c").join(bc, ["code_b", "code_c"]).withColumn("bound", F.least("s_ab", "s_ac", "s_bc"))
     # the limit is the feature: the rows are what gets counted
     chosen = ranked.orderBy(F.desc("bound"), "code_a", "code_b", "code_c").limit(most).select("code_a", "code_b", "code_c")
+    # the triples of a response are few beside those of a code's responses, and `most` bounds what is broadcast
     has = lambda c: occ.select("response_id", F.col("code").alias(c))
-    counted = chosen.join(has("code_a"), "code_a").join(has("code_b"), ["response_id", "code_b"]).join(has("code_c"), ["response_id", "code_c"]).groupBy("code_a", "code_b", "code_c").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
+    both = has("code_a").join(has("code_b"), "response_id").join(F.broadcast(chosen.select("code_a", "code_b").distinct()), ["code_a", "code_b"])
+    three = both.join(has("code_c"), "response_id").where("code_b < code_c").join(F.broadcast(chosen), ["code_a", "code_b", "code_c"])
+    counted = three.groupBy("code_a", "code_b", "code_c").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
     f, n = frequencies(occ), occ.agg(F.countDistinct("response_id").alias("n"))
     for c in "abc":
         counted = counted.join(f.select(F.col("code").alias(f"code_{c}"), F.col("n_responses").alias(f"n_{c}")), f"code_{c}")
