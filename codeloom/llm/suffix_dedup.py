@@ -245,7 +245,8 @@ def _hashed_ranges(contents: DataFrame, size: int) -> DataFrame:
 def _span_lists(keyed: DataFrame, size: int, group: int) -> DataFrame:
     """Per key of a row that loses bytes: arrays a and b of the ranges [a, b) to remove, in any order."""
     emitted = cut(_emitted(keyed, size), "windows", keyed)
-    run = emitted.groupBy("m", "t").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("kid", "kth", "s")).alias("of"), F.max("n").alias("n"), F.max("times").alias("times"), F.max("at").alias("at"))
+    grouped = emitted.groupBy("m", "t").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("kid", "kth", "s")).alias("of"), F.max("n").alias("n"), F.max("times").alias("times"), F.max("at").alias("at"))
+    run = cut(grouped, "runs")  # read three times below
     # a group is open if it has several suffixes and not all its runs are known as copies
     groups = run.groupBy("m").agg(F.count(F.lit(1)).alias("runs"), F.sum("times").alias("suffixes"), F.min("copies").alias("least")).where("suffixes > 1 and least = 1")
     single = F.when(F.col("times") == 1, F.col("at")).otherwise(-1)
