@@ -40,7 +40,7 @@ def test_stages_against_brute_force(spark, folder):
     assert sorted(i for i, _ in rows1) == sorted(i for i, t in rows if t and any(c.isalpha() for c in t))
 
     kept2 = stage["near_duplicates"](spark, kept, folder)
-    group = brute_components([i for i, _ in rows1], [brute_fingerprint(t) for _, t in rows1], 2)
+    group = brute_components([i for i, _ in rows1], [brute_fingerprint(t, 5) for _, t in rows1], 3)
     rows2 = sorted((r["doc_id"], r["text"]) for r in kept2.collect())
     assert [i for i, _ in rows2] == sorted(set(group))
 

@@ -11,12 +11,12 @@ from codeloom.llm.components import components
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, n=3):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in "".join(" " if c in " \t\n\r\x0b\x0c" else c for c in low).split(" ") if w]
     if not words:
         return 0
-    grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    grams = [" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))]
     hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -42,7 +42,7 @@ def brute_components(ids, fps, budget):
 def test_fingerprints(spark):
     texts = [None, "", "A", "One two", "one  TWO\tthree\nfour É", "a b c a b c a b c", " x ", "word " * 500]
     for t in texts:
-        assert sh.fingerprint(t) == brute_fingerprint(t)
+        assert sh.fingerprint(t) == brute_fingerprint(t) and sh.fingerprint(t, 5) == brute_fingerprint(t, 5)
     # Spark's own function has the same seed
     assert spark.range(1).select(F.xxhash64(F.lit("one two three"))).first()[0] % (1 << 64) == xxhash.xxh64_intdigest(b"one two three", 42)
 
@@ -58,13 +58,13 @@ def planted(seed, n):
     return fps
 
 
-@pytest.mark.parametrize(("seed", "subtrie"), [(1, 20_000), (2, 3), (3, 1)])
-def test_links_connect_what_brute_force_connects(spark, seed, subtrie):
+@pytest.mark.parametrize(("seed", "subtrie", "budget"), [(1, 20_000, 2), (2, 3, 2), (3, 1, 2), (4, 20_000, 3), (5, 2, 3)])
+def test_links_connect_what_brute_force_connects(spark, seed, subtrie, budget):
     fps = sorted({x - (1 << 64) if x >> 63 else x for x in planted(seed, 150)})
-    edges = sh.links(spark.createDataFrame([(x,) for x in fps], "fp long").repartition(5), 2, subtrie)
+    edges = sh.links(spark.createDataFrame([(x,) for x in fps], "fp long").repartition(5), budget, subtrie)
     found = {r["node"]: r["component"] for r in components(edges).collect()}
     have = [found.get(x, x) for x in fps]
-    want = brute_components(fps, [x % (1 << 64) for x in fps], 2)
+    want = brute_components(fps, [x % (1 << 64) for x in fps], budget)
     assert have == want
 
 
