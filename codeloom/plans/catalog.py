@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import names, providers, texts, udfs
 from codeloom.operators import agreement, checks, clustering, codebook, eventlog, growth, lexical, occurrence, organise, segments, similarity, withheld
+from codeloom.plans import loop, timeline, validation
 from codeloom.sources import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -695,3 +696,54 @@ def document_frequencies(spark, d):
 def score_distribution(spark, d):
     people = t.table(spark, d, "orders").select(F.col("o_custkey").alias("response_id")).distinct().withColumn("text", F.lit(""))
     return lexical.score_distribution(lexical.scored_from_assignments(people, _occ(spark, d), "error"))
+
+
+# ---- flows ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {LOG}, x AS (SELECT run_id, event_id, event, subject, CASE WHEN event = 'checkpoint_evaluated' THEN k END AS b FROM l WHERE event IN ('response_prepared', 'checkpoint_evaluated')),
+y AS (SELECT *, first_value(b IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt, max(b) OVER (PARTITION BY run_id) AS last FROM x),
+o AS (SELECT run_id, CAST(subject AS BIGINT) AS response_id, coalesce(nxt, last + 1, 1) AS batch FROM y WHERE event = 'response_prepared'), sz AS (SELECT run_id, batch, count(*) AS n_responses FROM o GROUP BY 1, 2),
+nw AS (SELECT run_id, batch, count(DISTINCT l.subject) AS n FROM l JOIN o USING (run_id) WHERE l.event = 'code_created' AND l.k = o.response_id GROUP BY 1, 2),
+j AS (SELECT run_id, event, last_value(CASE WHEN event = 'response_prepared' THEN CAST(subject AS BIGINT) END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spot FROM l WHERE event IN ('response_prepared', 'judge_consulted')),
+jc AS (SELECT j.run_id, batch, count(*) AS n FROM j JOIN o ON j.run_id = o.run_id AND spot = response_id WHERE event = 'judge_consulted' GROUP BY 1, 2)
+SELECT sz.run_id, sz.batch, n_responses, coalesce(nw.n, 0) AS n_new_codes, CAST(coalesce(jc.n, 0) AS BIGINT) AS n_judge_calls FROM sz LEFT JOIN nw ON nw.run_id = sz.run_id AND nw.batch = sz.batch LEFT JOIN jc ON jc.run_id = sz.run_id AND jc.batch = sz.batch""")
+def timeline_batches(spark, d):
+    return timeline.batch_summary(t.audit(spark, d))
+
+
+@query(f"WITH {LOG}, m AS (SELECT run_id, subject, min(event_id) AS born_event, min_by(k, event_id) AS born_response FROM l WHERE event = 'code_created' GROUP BY 1, 2), g AS (SELECT run_id, subject, count(*) AS n, max(event_id) AS last FROM l WHERE event = 'code_merged' GROUP BY 1, 2) SELECT m.run_id, m.subject AS code, born_event, born_response, coalesce(n, 0) AS n_merged, last AS last_merge, 'alive' AS fate FROM m LEFT JOIN g ON m.run_id = g.run_id AND m.subject = g.subject")
+def code_biographies(spark, d):
+    return timeline.biographies(t.audit(spark, d)).drop("successor")
+
+
+@query(f"WITH {A}, p AS (SELECT response_id, row_number() OVER (ORDER BY response_id) AS place FROM (SELECT DISTINCT response_id FROM a)) SELECT code, min(place) AS place, min(response_id) AS response_id FROM a JOIN p USING (response_id) GROUP BY code")
+def first_appearances(spark, d):
+    occ = _occ(spark, d)
+    return timeline.first_appearance(occ, growth.place(occ))
+
+
+@query()
+def vocabulary_matching(spark, d):
+    """Brands' leaves of the codebook against types and brands written the other way round."""
+    book = t.codebook(spark, d).select("name", "description")
+    other = t.table(spark, d, "part").select(F.lower(F.concat("p_type", F.lit("-"), F.replace("p_brand", F.lit("#"), F.lit("")))).alias("name")).distinct().withColumn("description", F.lit(""))
+    return validation.match_codes(book, other)
+
+
+@query()
+def codebook_crosswalk(spark, d):
+    book = t.codebook(spark, d).select("name", "description")
+    return validation.crosswalk(codebook.leaves(t.codebook(spark, d)).select("name", "description"), book, names_only=True)["rollup"]
+
+
+#: Words that stand for codes where the coding loop runs on invented prose.
+KEYWORDS = {"article-the": ("the",), "article-la": ("la", "le"), "article-der": ("der", "die"), "link-and": ("and", "et", "y", "und"), "place-in": ("in", "en")}
+
+
+@query()
+def coding_loop(spark, d):
+    """The whole fast loop over the benchmark's texts: codes in the order they were admitted."""
+    people = t.table(spark, d, "benchmark").select(F.col("item_id").alias("response_id"), F.col("text").alias("content"))
+    state, _ = loop.run(people, KEYWORDS)
+    return spark.createDataFrame([(k, r, c) for k, (r, c) in enumerate(state.created)], "place int, response_id bigint, code string")
