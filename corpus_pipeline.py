@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontaminate, language, packing, simhash, suffix_dedup
+from codeloom.llm import decontaminate, language, near_copies, packing, suffix_dedup
 from codeloom.llm.common import compact, cut, table
 from codeloom.llm.queries import tokenizer_path
 
-#: Words of a shingle, and bits that near duplicates differ in at most: a similarity of about 0.97 of their shingles.
-SHINGLE_WORDS, MOST_BITS = 5, 3
+#: Words of a shingle, and least share of their shingles that near duplicates have in common.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Least probability with which a document's language must be found.
 LEAST_LANGUAGE = 0.3
 
@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, that with the least id."""
-    return simhash.representatives(docs, SHINGLE_WORDS, MOST_BITS)
+    return near_copies.representatives(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
