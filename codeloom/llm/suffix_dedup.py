@@ -18,7 +18,9 @@ and other texts are told apart by the text's hash; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from codeloom.llm.superwindows import ANCHOR, Hashes, runs
 SIZE = 400
 #: Runs and suffixes that one task sorts together at most.
 GROUP, SUFFIXES = 8192, 200_000
+#: Bytes that stand for a word where passages are counted in words, and words whose bytes are kept.
+CODE, MOST_CODES = 4, 500_000
 
 
 def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -150,11 +154,29 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def _emitted(keyed: DataFrame, size: int) -> DataFrame:
+def plain(text: str | None) -> bytes:
+    return (text or "").encode()
+
+
+class Coded(dict):
+    """A text as CODE bytes for each of its words, so strings of bytes are strings of words whatever their length."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MOST_CODES:
+            self.clear()
+        data = word.encode("utf-8", "surrogatepass")
+        self[word] = code = (zlib.crc32(data) ^ zlib.adler32(data) * 0x9E3779B1 & 0xFFFFFFFF).to_bytes(CODE, "big")
+        return code
+
+    def __call__(self, text: str | None) -> bytes:
+        return b"".join([self[w] for w in (text or "").split()])
+
+
+def _emitted(keyed: DataFrame, size: int, code: Callable[[str | None], bytes] = plain) -> DataFrame:
     def each(batch) -> dict:
         cols: dict[str, list] = {k: [] for k in ("kid", "kth", "m", "t", "s", "n", "times", "at")}
         for kid, kth, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            data = (text.as_py() or "").encode()
+            data = code(text.as_py())
             if len(data) < size:
                 continue
             m, t, s, n, times, at = runs(data, size)
@@ -167,7 +189,7 @@ def _emitted(keyed: DataFrame, size: int) -> DataFrame:
     return arrow_rows(keyed, [*KEY, "text"], "kid long, kth long, m long, t long, s long, n int, times int, at int", each)
 
 
-def _contents(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def _contents(keyed: DataFrame, wanted: DataFrame, size: int, code: Callable[[str | None], bytes] = plain) -> DataFrame:
     """(m, t, single, hot, content) of one text per run of `wanted`, fetched from its document."""
     lists = wanted.groupBy("kid", "kth").agg(F.collect_list(F.struct("m", "t", "single", "hot", "s", "n")).alias("x"))
     lists = lists.select("kid", "kth", *[F.col(f"x.{c}").alias(c) for c in ("m", "t", "single", "hot", "s", "n")])
@@ -178,7 +200,7 @@ def _contents(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         out: dict[str, list] = {k: [] for k in ("m", "t", "single", "hot", "content")}
         get = {f.name: batch.column(k) for k, f in enumerate(batch.schema)}
         for row in range(len(batch)):
-            data = get["text"][row].as_py().encode()
+            data = code(get["text"][row].as_py())
             s, n = get["s"][row].as_py(), get["n"][row].as_py()
             for c in ("m", "t", "single", "hot"):
                 out[c] += get[c][row].as_py()
@@ -242,16 +264,16 @@ def _hashed_ranges(contents: DataFrame, size: int) -> DataFrame:
     return hit.select("m", "t", F.col("o").alias("first"), F.col("o").alias("last"))
 
 
-def _span_lists(keyed: DataFrame, size: int, group: int) -> DataFrame:
+def _span_lists(keyed: DataFrame, size: int, group: int, code: Callable[[str | None], bytes] = plain) -> DataFrame:
     """Per key of a row that loses bytes: arrays a and b of the ranges [a, b) to remove, in any order."""
-    emitted = cut(_emitted(keyed, size), "windows", keyed)
+    emitted = cut(_emitted(keyed, size, code), "windows", keyed)
     grouped = emitted.groupBy("m", "t").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("kid", "kth", "s")).alias("of"), F.max("n").alias("n"), F.max("times").alias("times"), F.max("at").alias("at"))
     run = cut(grouped, "runs")  # read three times below
     # a group is open if it has several suffixes and not all its runs are known as copies
     groups = run.groupBy("m").agg(F.count(F.lit(1)).alias("runs"), F.sum("times").alias("suffixes"), F.min("copies").alias("least")).where("suffixes > 1 and least = 1")
     single = F.when(F.col("times") == 1, F.col("at")).otherwise(-1)
     wanted = run.join(groups, "m").select("m", "t", single.alias("single"), ((F.col("runs") > group) | (F.col("suffixes") > SUFFIXES)).alias("hot"), "of.kid", "of.kth", "of.s", "n")
-    contents = cut(_contents(keyed, wanted, size), "contents", keyed)
+    contents = cut(_contents(keyed, wanted, size, code), "contents", keyed)
     ranges = _tree_ranges(contents.where("not hot"), size)
     if contents.where("hot").limit(1).count():
         ranges = ranges.union(_hashed_ranges(contents.where("hot"), size))
@@ -291,21 +313,45 @@ def kept(data: bytes, spans: list[dict]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
-    """The rows, with all their columns, without repeated strings in their text; n_chars is counted anew. A character that
-    loses some of its bytes goes; a row of whose text only white space is left goes."""
-    keyed = with_key(docs)
-    joined = keyed.join(_span_lists(keyed, size, group), KEY, "left").select(*docs.columns, "__a", "__b")
-    names = docs.columns
+def word_ranges(text: str, a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Byte ranges of a text for ranges of its coded bytes: the whole words that lie in them."""
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    ends = np.cumsum([0, *[len(c.encode("utf-8", "surrogatepass")) for c in text]]) if not text.isascii() else None
+    out = []
+    for s in _spans(a, b):
+        first, last = -(-s["start"] // CODE), s["end"] // CODE - 1
+        if first <= last:
+            x, y = words[first][0], words[last][1]
+            out.append((x, y) if ends is None else (int(ends[x]), int(ends[y])))
+    return out
+
+
+def without_repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP, words: int | None = None) -> DataFrame:
+    """The rows, with all their columns, without repeated strings in their text; n_chars is counted anew. Strings of at least
+    `size` bytes go and, where it is given, strings of at least `words` words, whatever their bytes. A character that loses
+    some of its bytes goes; a row of whose text only white space is left goes."""
+    keyed, names = with_key(docs), docs.columns
+    lists = _span_lists(keyed, size, group)
+    if words:
+        coded = _span_lists(keyed, CODE * words, group, Coded()).select(*KEY, F.col("__a").alias("__c"), F.col("__b").alias("__d"))
+        lists = lists.join(coded, KEY, "full")
+    else:
+        lists = lists.withColumns({"__c": F.lit(None).cast("array<int>"), "__d": F.lit(None).cast("array<int>")})
+    joined = keyed.join(lists, KEY, "left").select(*names, "__a", "__b", "__c", "__d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = {n: b.column(k) for k, n in enumerate(names)}
-            hit = np.flatnonzero(b.column(len(names)).is_valid())
+            marks = [b.column(len(names) + k) for k in range(4)]
+            hit = np.flatnonzero(np.asarray(marks[0].is_valid()) | np.asarray(marks[2].is_valid()))
             texts, keep = own["text"].to_pylist(), np.ones(len(b), dtype=bool)
             counts = own["n_chars"].to_pylist() if "n_chars" in own else None
             for k in hit.tolist():
-                texts[k] = kept(texts[k].encode(), _spans(b.column(len(names))[k].as_py(), b.column(len(names) + 1)[k].as_py())).decode("utf-8", "ignore")
+                x, y, c, d = (m[k].as_py() for m in marks)
+                found = [*zip(x or [], y or []), *(word_ranges(texts[k], c, d) if c is not None else [])]
+                if not found:
+                    continue
+                texts[k] = kept(texts[k].encode(), _spans(*zip(*found))).decode("utf-8", "ignore")
                 keep[k] = bool(texts[k].strip())
                 if counts:
                     counts[k] = len(texts[k])

@@ -15,6 +15,8 @@ from codeloom.llm.queries import tokenizer_path
 
 #: Words of a shingle, and least share of their shingles that near duplicates have in common.
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: Words that a passage has at least to be cut where it repeats; strings of 400 bytes go as in op6 whatever their words.
+PASSAGE_WORDS = 51
 #: Least probability with which a document's language must be found.
 LEAST_LANGUAGE = 0.3
 
@@ -30,8 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes byte strings that come more than once; documents of which nothing is left go."""
-    return suffix_dedup.without_repeats(docs)
+    """Removes passages of over 50 words and byte strings of op6's size that come more than once; documents of which nothing is
+    left go."""
+    return suffix_dedup.without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,18 @@ def test_runs_cover_each_window_once_and_follow_content():
     assert np.array_equal(np.concatenate([np.arange(a, a + k) for a, k in zip(s, n)]), np.arange(5000 - 79))
     x = r.integers(0, 1000, 500).astype(np.uint64)
     assert np.array_equal(sliding_least(x, 17), [x[k : k + 17].min() for k in range(484)])
+
+
+def test_stage_cuts_passages_of_51_words_and_leaves_those_of_50(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(3)
+    prose = lambda n: " ".join(r.choice("abcdeé") + r.choice("fgh") + f"{r.randint(0, 99)}" for _ in range(n))
+    long, short = prose(51), prose(50)
+    own = [(prose(30), prose(30)) for _ in range(6)]
+    rows = [(k, f"{a} x{k} {long if k < 3 else short} y{k} {b}") for k, (a, b) in enumerate(own)]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], DOCS)
+    got = {x["doc_id"]: x for x in cp.cut_repeats(spark, docs, "").collect()}
+    for k, (a, b) in enumerate(own):
+        left = f"{a} x{k} y{k} {b}" if k < 3 else rows[k][1]
+        assert got[k]["text"].split() == left.split() and got[k]["n_chars"] == len(got[k]["text"])
