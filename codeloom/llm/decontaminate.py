@@ -2,8 +2,9 @@
 
 Texts become token sequences in which numbers, names (capitalised words inside a sentence) and units after a number are
 typed placeholders. Windows of WORDS template tokens of the benchmark are hash-joined with those of every document. An item is
-found in a document if at least SIMILARITY of its windows are there and the slots are consistent: one value of the item stands
-for one value of the document, so a question with other numbers or names is caught, and a chance mix of placeholders is not.
+found in a document if, in one region of it or from first places anywhere, at least SIMILARITY of its windows are there and the
+slots are consistent: one value of the item stands for one value of the document, so a question with other numbers or names is
+caught, and a chance mix of placeholders is not. All places of a window count, so a variant before a copy does not hide it.
 
 The benchmark is a query set: its windows are dealt into blocks of at most BLOCK windows, each block is broadcast, and every
 document is compared with every block. No document is gathered or shuffled.
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -133,6 +136,32 @@ def consistent(pairs: list[tuple[int, int, int]]) -> bool:
     return min(agree(forth), agree(back)) >= CONSISTENT * len(pairs)
 
 
+def regions(places: list[tuple[int, int]], least: float, slack: int) -> Iterator[dict[int, int]]:
+    """Ways to place at least `least` of an item's windows in a document, window -> place, from all (window, place) found.
+    First the alignments (place less window) by the windows that they hold, each alone and then with windows moved by
+    at most `slack`, the nearest place each; last the first place of every window, wherever it is."""
+    lines: dict[int, list[int]] = {}
+    for i, d in places:
+        lines.setdefault(d - i, []).append(i)
+    order, seen = sorted(lines), set()
+    for o in sorted(lines, key=lambda o: (-len(lines[o]), o)):
+        near = order[bisect_left(order, o - slack) : bisect_right(order, o + slack)]
+        for group in ([o], sorted(near, key=lambda x: (abs(x - o), x))):
+            if sum(len(lines[x]) for x in group) < least:
+                continue
+            where: dict[int, int] = {}
+            for x in group:
+                for i in lines[x]:
+                    where.setdefault(i, x + i)
+            if len(where) >= least and (key := tuple(sorted(where.items()))) not in seen:
+                seen.add(key)
+                yield where
+    first: dict[int, int] = {}
+    for i, d in places:
+        first[i] = min(d, first.get(i, d))
+    yield first
+
+
 def _blocks(benchmark: DataFrame, block: int) -> list[list[tuple]]:
     """Items (item_id, tokens, values) in blocks of at most about `block` windows, one block at a time on the driver."""
     lexicon = Lexicon()
@@ -176,21 +205,24 @@ def _finder(docs: DataFrame, items: list[tuple], similarity: float):
         at = at[x["hash"][lo[at]] == w[at]]
         if not len(at):
             return []
-        hits: dict[int, dict[int, int]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
         for d in at.tolist():
             k = int(lo[d])
             while k < len(x["hash"]) and x["hash"][k] == w[d]:
-                hits.setdefault(int(x["owner"][k]), {}).setdefault(int(x["at"][k]), d)
+                hits.setdefault(int(x["owner"][k]), []).append((int(x["at"][k]), d))
                 k += 1
         out = []
-        for k, where in hits.items():
-            if len(where) < similarity * x["need"][k]:
+        for k, places in hits.items():
+            least = similarity * x["need"][k]
+            if len({i for i, _ in places}) < least:
                 continue
             _, item, own = x["items"][k]
-            slots = {(i + j, d + j) for i, d in where.items() for j in range(WORDS) if item[i + j] <= 3}
-            if consistent([(int(item[i]), int(own[i]), int(value[d])) for i, d in slots]):
-                changed = sum(own[i] != value[d] for i, d in slots)
-                out.append((k, len(where), float(len(where) / x["need"][k]), int(changed)))
+            for where in regions(places, least, len(item) // 4 + WORDS):
+                slots = {(i + j, d + j) for i, d in where.items() for j in range(WORDS) if item[i + j] <= 3}
+                if consistent([(int(item[i]), int(own[i]), int(value[d])) for i, d in slots]):
+                    changed = sum(own[i] != value[d] for i, d in slots)
+                    out.append((k, len(where), float(len(where) / x["need"][k]), int(changed)))
+                    break
         return out
 
     return found

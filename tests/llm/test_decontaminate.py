@@ -51,3 +51,17 @@ def test_words_are_kept_within_a_bound(monkeypatch):
     lex = dc.Lexicon()
     for text in ("alpha beta gamma delta eps zeta", "alpha beta", "eta theta iota kappa lam mu"):
         assert dc.canonical(text, lex)[0].tolist() == dc.canonical(text, dc.Lexicon())[0].tolist()
+
+
+PAYS = "At the fair Anna pays 12 coins for 3 red apples and then she gives Anna back 12 of the coins that were left in the old bag"
+
+
+def test_a_variant_before_a_copy_does_not_hide_it(spark):
+    other = PAYS.replace("Anna", "Paul").replace("12", "30").replace("3 red", "8 red")
+    half = " ".join(other.split()[:14])
+    inserted = PAYS.replace("apples and", "apples today and")
+    texts = [f"{half} . {PAYS}", f"{half} x. {half} y. {inserted} end", f"{half} . {half}", f"{other} . {PAYS}"]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(1, PAYS)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in dc.contaminated(docs, bench).collect()) == [0, 1, 3]
+    assert [r["doc_id"] for r in dc.clean(docs, bench).collect()] == [2]
