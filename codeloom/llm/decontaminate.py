@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become token sequences in which numbers, names (capitalised words inside a sentence) and units after a number are
-typed placeholders. Windows of WORDS template tokens of the benchmark are hash-joined with those of every document. An item is
+Texts become token sequences in which numbers, names (capitalised words inside a sentence) and units after a number, or in one
+word with it, are typed placeholders. A capitalised word that begins a sentence may be a name or not: both forms of the windows
+around it are compared. Windows of WORDS template tokens of the benchmark are hash-joined with those of every document. An item is
 found in a document if, in one region of it or from first places anywhere, at least SIMILARITY of its windows are there and the
 slots are consistent: one value of the item stands for one value of the document, so a question with other numbers or names is
 caught, and a chance mix of placeholders is not. All places of a window count, so a variant before a copy does not hide it.
@@ -38,12 +39,15 @@ NUMBER, NAME, UNIT = 1, 2, 3
 NUMERIC = re.compile(r"[+-]?\d[\d.,:/%-]*")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million half twice".split())
 UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles g kg mg gram grams ton tons pound pounds ounce ounces l ml liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees mph kmh watt watts volt volts".split())
+#: A number with its unit in one word.
+GLUED = re.compile(r"([+-]?\d[\d.,:/]*)-?([a-zA-Z]+)")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lexicon:
     """Raw word -> row of `values` and `traits`: the hash of the bare lower-case word, its kind, whether it is capitalised
-    and whether it ends a sentence. Row 0 is for words without letters or digits. Words met last are kept."""
+    and whether it ends a sentence. Row 0 is for words without letters or digits; -k - 1 stands for the rows `pairs[k]` of a
+    number and its unit in one word. Words met last are kept."""
 
     MOST = 500_000
 
@@ -52,6 +56,7 @@ class Lexicon:
 
     def _restart(self) -> None:
         self.known: dict[str, int] = {}
+        self.pairs: list[tuple[int, int]] = []
         self.values, self.traits = np.zeros(1024, dtype=np.uint64), np.zeros((1024, 3), dtype=np.int8)
         self.n = 1
 
@@ -67,6 +72,10 @@ class Lexicon:
             self.known[raw] = 0
             return 0
         low = bare.lower()
+        if bare[0].isdigit() and (glued := GLUED.fullmatch(bare)) and glued[2].lower() in UNITS:
+            self.pairs.append(tuple(self.known.get(w) or self._add(w) for w in (raw[: a + glued.end(1)], raw[a + glued.start(2) :])))
+            self.known[raw] = -len(self.pairs)
+            return self.known[raw]
         kind = UNIT if low in UNITS else NUMBER if low in NUMBER_WORDS or (not low.isalpha() and NUMERIC.fullmatch(bare)) else 0
         data = low.encode("utf-8", "surrogatepass")
         if self.n == len(self.values):
@@ -87,22 +96,27 @@ class Lexicon:
                     got = self.known.get(w)
                     x[k] = self._add(w) if got is None else got
         rows = np.array(x, dtype=np.int64)
+        if len(rows) and rows.min() < 0:
+            rows = np.array([r for k in x for r in ((k,) if k >= 0 else self.pairs[-k - 1])], dtype=np.int64)
         return rows[rows > 0]
 
 
-def canonical(text: str, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Template tokens (a placeholder's number or a word's hash) and, beside them, each token's own value."""
+def canonical(text: str, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens (a placeholder's number or a word's hash), beside them each token's own value, and the tokens with
+    capitalised words at the start of a sentence read as names too."""
     rows = lexicon.rows(text.split())
     value, (kind, upper, ends) = lexicon.values[rows], lexicon.traits[rows].T
     if not len(rows):
-        return value, value
+        return value, value, value
     inside = np.r_[False, ends[:-1] == 0]
     after_number = np.r_[False, kind[:-1] == NUMBER]
     token = value.copy()
     token[(kind == 0) & (upper == 1) & inside] = NAME
     token[kind == NUMBER] = NUMBER
     token[(kind == UNIT) & after_number] = UNIT
-    return token, value
+    other = token.copy()
+    other[(kind == 0) & (upper == 1)] = NAME
+    return token, value, other
 
 
 def windows(token: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -163,20 +177,20 @@ def regions(places: list[tuple[int, int]], least: float, slack: int) -> Iterator
 
 
 def _blocks(benchmark: DataFrame, block: int) -> list[list[tuple]]:
-    """Items (item_id, tokens, values) in blocks of at most about `block` windows, one block at a time on the driver."""
+    """Items (item_id, tokens, values, tokens with names at starts) in blocks of at most about `block` windows, one block at a time on the driver."""
     lexicon = Lexicon()
 
     def each(batch) -> dict:
         made = [canonical(t.as_py() or "", lexicon) for t in batch.column(1)]
-        return {"item_id": batch.column(0), "tokens": [a.view(np.int64) for a, _ in made], "vals": [b.view(np.int64) for _, b in made]}
+        return {"item_id": batch.column(0), } | {name: [x[k].view(np.int64) for x in made] for k, name in enumerate(("tokens", "vals", "others"))}
 
-    items = arrow_rows(benchmark, ["item_id", "text"], "item_id long, tokens array<long>, vals array<long>", each)
+    items = arrow_rows(benchmark, ["item_id", "text"], "item_id long, tokens array<long>, vals array<long>, others array<long>", each)
     held, n = [], 0
     for r in items.toLocalIterator():
         if held and n + len(r["tokens"]) > block:
             yield held
             held, n = [], 0
-        held.append((r["item_id"], np.array(r["tokens"], dtype=np.int64).view(np.uint64), np.array(r["vals"], dtype=np.int64).view(np.uint64)))
+        held.append((r["item_id"], *[np.array(r[c], dtype=np.int64).view(np.uint64) for c in ("tokens", "vals", "others")]))
         n += len(r["tokens"])
     if held:
         yield held
@@ -184,42 +198,49 @@ def _blocks(benchmark: DataFrame, block: int) -> list[list[tuple]]:
 
 def _finder(docs: DataFrame, items: list[tuple], similarity: float):
     """A function text -> [(item, windows, similarity, changed slots)], with the block of items broadcast."""
-    hashes, owner, position = [], [], []
-    for k, (_, token, _) in enumerate(items):
-        h = windows(token)
-        at = np.flatnonzero(h)
-        hashes.append(h[at])
-        owner.append(np.full(len(at), k))
-        position.append(at)
-    h, o, p = (np.concatenate(x) for x in (hashes, owner, position))
+    hashes, owner, position, form = [], [], [], []
+    need = np.zeros(len(items), dtype=np.int64)
+    for k, (_, token, _, other) in enumerate(items):
+        h, g = windows(token), windows(other)
+        need[k] = np.count_nonzero(h)
+        for n, (x, at) in enumerate(((h, np.flatnonzero(h)), (g, np.flatnonzero((g != 0) & (g != h))))):
+            hashes.append(x[at])
+            owner.append(np.full(len(at), k))
+            position.append(at)
+            form.append(np.full(len(at), n))
+    h, o, p, f = (np.concatenate(x) for x in (hashes, owner, position, form))
     order = np.argsort(h, kind="stable")
-    index = {"hash": h[order], "owner": o[order], "at": p[order], "need": np.bincount(o, minlength=len(items)), "items": items}
+    index = {"hash": h[order], "owner": o[order], "at": p[order], "form": f[order], "need": need, "items": items}
     held, lexicon = docs.sparkSession.sparkContext.broadcast(index), Lexicon()
 
     def found(text: str) -> list[tuple]:
         x = held.value
-        token, value = canonical(text, lexicon)
-        w = windows(token)
+        token, value, other = canonical(text, lexicon)
+        w, v = windows(token), windows(other)
+        also = np.flatnonzero((v != 0) & (v != w))
+        w, place = np.concatenate((w, v[also])), np.concatenate((np.arange(len(w)), also))
         lo = np.searchsorted(x["hash"], w, side="left")
         at = np.flatnonzero((w != 0) & (lo < len(x["hash"])))
         at = at[x["hash"][lo[at]] == w[at]]
         if not len(at):
             return []
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for d in at.tolist():
-            k = int(lo[d])
-            while k < len(x["hash"]) and x["hash"][k] == w[d]:
-                hits.setdefault(int(x["owner"][k]), []).append((int(x["at"][k]), d))
+        # (window, place) -> whether only the form with names at starts is there
+        hits: dict[int, dict[tuple[int, int], int]] = {}
+        for a in at.tolist():
+            k, d = int(lo[a]), int(place[a])
+            while k < len(x["hash"]) and x["hash"][k] == w[a]:
+                of, pair, form = hits.setdefault(int(x["owner"][k]), {}), (int(x["at"][k]), d), int(x["form"][k])
+                of[pair] = min(form, of.get(pair, 1))
                 k += 1
         out = []
         for k, places in hits.items():
             least = similarity * x["need"][k]
             if len({i for i, _ in places}) < least:
                 continue
-            _, item, own = x["items"][k]
-            for where in regions(places, least, len(item) // 4 + WORDS):
-                slots = {(i + j, d + j) for i, d in where.items() for j in range(WORDS) if item[i + j] <= 3}
-                if consistent([(int(item[i]), int(own[i]), int(value[d])) for i, d in slots]):
+            _, *forms, own = (x["items"][k][n] for n in (0, 1, 3, 2))
+            for where in regions(list(places), least, len(own) // 4 + WORDS):
+                slots = {(i + j, d + j) for i, d in where.items() for j in range(WORDS) if forms[places[i, d]][i + j] <= 3}
+                if consistent([(int(forms[1][i]), int(own[i]), int(value[d])) for i, d in slots]):
                     changed = sum(own[i] != value[d] for i, d in slots)
                     out.append((k, len(where), float(len(where) / x["need"][k]), int(changed)))
                     break
@@ -229,7 +250,7 @@ def _finder(docs: DataFrame, items: list[tuple], similarity: float):
 
 
 def _match(docs: DataFrame, items: list[tuple], similarity: float) -> DataFrame:
-    found, ids = _finder(docs, items, similarity), [i for i, _, _ in items]
+    found, ids = _finder(docs, items, similarity), [i for i, *_ in items]
 
     def each(batch) -> dict:
         out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "n_windows", "similarity", "n_changed_slots")}
@@ -244,7 +265,7 @@ def _match(docs: DataFrame, items: list[tuple], similarity: float) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, n_windows, similarity, n_changed_slots) of every benchmark item found in a document."""
-    parts = [_match(docs, items, similarity) for items in _blocks(benchmark, block) if any(len(t) >= WORDS for _, t, _ in items)]
+    parts = [_match(docs, items, similarity) for items in _blocks(benchmark, block) if any(len(t) >= WORDS for _, t, *_ in items)]
     if not parts:
         return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("n_changed_slots")).where("false")
     out = parts[0]
@@ -256,7 +277,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """The rows, with all their columns, in which no benchmark item is found."""
     for items in _blocks(benchmark, block):
-        if any(len(t) >= WORDS for _, t, _ in items):
+        if any(len(t) >= WORDS for _, t, *_ in items):
             found = _finder(docs, items, similarity)
             docs = docs.where(text_udf(docs.sparkSession, "boolean", lambda text, found=found: not found(text or ""))("text"))
     return docs

@@ -65,3 +65,19 @@ def test_a_variant_before_a_copy_does_not_hide_it(spark):
     bench = spark.createDataFrame([(1, PAYS)], "item_id long, text string")
     assert sorted(r["doc_id"] for r in dc.contaminated(docs, bench).collect()) == [0, 1, 3]
     assert [r["doc_id"] for r in dc.clean(docs, bench).collect()] == [2]
+
+
+BAG = "Anna has 12 red apples in a bag. Paul takes 5 of them out and walks 5km to the old mill. Anna then buys 7 more for 3kg of flour. How many apples are there in the bag now?"
+
+
+def test_names_that_begin_sentences_and_units_glued_to_numbers(spark):
+    names = BAG.replace("Anna", "Maria").replace("Paul", "Peter")
+    units = BAG.replace("5km", "8 miles").replace("3kg", "40 g")
+    chance = BAG.replace("Anna has", "Maria has").replace("Anna then", "Olga then").replace("Paul", "Maria").replace("12", "9").replace("5", "9").replace("7", "9")
+    texts = [BAG, names, units, names.replace("5km", "9 m").replace("3kg", "2lb"), f"so says {names}", chance]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(1, BAG)], "item_id long, text string")
+    got = {r["doc_id"]: r["n_changed_slots"] for r in dc.contaminated(docs, bench).collect()}
+    assert set(got) >= {0, 1, 2, 4} and 5 not in got and got[0] == 0 and got[1] == 3
+    lex = dc.Lexicon()
+    assert dc.canonical("5km, (12kg) 3D x", lex)[0].tolist()[:4] == [dc.NUMBER, dc.UNIT, dc.NUMBER, dc.UNIT]
