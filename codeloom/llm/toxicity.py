@@ -26,9 +26,9 @@ from codeloom.llm.linear import logistic, sigmoid
 from codeloom.llm.samples import labelled
 
 PER_CLASS = 2000
-#: Toxic rows that a term needs in the sample, its least share of toxic rows to be kept and to enter the trie, and terms that
-#: are kept at most.
-LEAST_ROWS, LEANING, PURITY, MOST_TERMS = 4, 0.6, 0.95, 6000
+#: Toxic rows that a term needs in the sample, and its least share of toxic rows to be kept and to enter the trie. The bounded
+#: sample bounds the terms.
+LEAST_ROWS, LEANING, PURITY = 4, 0.6, 0.95
 STEM_FROM, STEM_TO = 4, 7
 FUZZY_1, FUZZY_2 = 5, 9
 CONTEXT = 6
@@ -218,7 +218,7 @@ def mine(rows: DataFrame, least: int = LEAST_ROWS) -> dict:
         return out
 
     terms = arrow_rows(rows, ["text", "label"], "term string, label int", each).groupBy("term").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n"))
-    kept = terms.where((F.col("toxic") >= least) & (F.col("toxic") >= LEANING * F.col("n"))).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).collect()
+    kept = terms.where((F.col("toxic") >= least) & (F.col("toxic") >= LEANING * F.col("n"))).collect()
     odds = {r["term"]: float(np.log((r["toxic"] + 0.5) / (r["n"] - r["toxic"] + 0.5))) for r in kept}
     pure = sorted((r["term"] for r in kept if r["toxic"] >= PURITY * r["n"]), key=lambda t: (len(t), t))
     stems: list[str] = []

@@ -57,3 +57,11 @@ def test_learning_and_misspellings(spark):
     assert tx.fit(docs, labels.where("toxic = 0")) is None
     assert tx.score(docs, None).agg({"score": "max"}).first()[0] == 0
     assert tx.score(spark.createDataFrame([], DOCS), model).count() == 0
+
+
+def test_rare_pure_terms_stay_beside_many_frequent_ones(spark):
+    common = [f"leaning{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}" for k in range(6200)]
+    # the common words: 6 toxic rows and 3 others; the rare one: 4 toxic rows and no other
+    rows = [(" ".join(common) + (" vermin" if k < 4 else ""), 1) for k in range(6)] + [(" ".join(common), 0)] * 3
+    lexicon = tx.mine(spark.createDataFrame(rows, "text string, label int"))
+    assert "vermin" in lexicon["words"] and "vermin" in lexicon["pure"][0] and len(lexicon["words"]) == 6201
