@@ -655,7 +655,7 @@ def text_segments(spark, d):
 def quote_location(spark, d):
     """Benchmark items as quotes placed on documents that hold them or nearly do."""
     pairs = t.table(spark, d, "benchmark").select(F.col("item_id").alias("row"), F.lit("item").alias("tag"), F.col("text").alias("content"))
-    return segments.place(pairs, t.responses(spark, d), threshold=0.98)
+    return segments.place(pairs, t.responses(spark, d))
 
 
 @query()

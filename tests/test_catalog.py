@@ -47,3 +47,13 @@ def test_query_without_sql_has_rows(spark, name):
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_quotes_with_a_few_words_changed_are_located(spark, tmp_path):
+    quote = "the quick brown fox jumps over the lazy dog while seven old men watch from the long stone wall"
+    near = quote.replace("lazy", "sleepy").replace("seven", "nine")
+    docs = [(1, f"before it all {near} and after", "en", "s", 1), (2, "nothing of the kind", "en", "s", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, quote)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [r.asDict() for r in QUERIES["quote_location"](spark, str(tmp_path)).collect()]
+    assert [(r["row"], r["response_id"], r["mode"]) for r in got] == [(7, 1, "fuzzy")]
