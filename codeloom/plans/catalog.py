@@ -660,7 +660,7 @@ def quote_location(spark, d):
 
 @query()
 def lexical_embedding(spark, d):
-    return providers.embed(t.table(spark, d, "benchmark").select("item_id", "text"), "text")
+    return providers.embed(t.table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
 @query()
@@ -743,7 +743,6 @@ KEYWORDS = {"article-the": ("the",), "article-la": ("la", "le"), "article-der":
 
 @query()
 def coding_loop(spark, d):
-    """The whole fast loop over the benchmark's texts: codes in the order they were admitted."""
-    people = t.table(spark, d, "benchmark").select(F.col("item_id").alias("response_id"), F.col("text").alias("content"))
-    state, _ = loop.run(people, KEYWORDS)
+    """The whole fast loop over the documents: codes in the order they were admitted."""
+    state, _ = loop.run(t.responses(spark, d).select("response_id", "content"), KEYWORDS)
     return spark.createDataFrame([(k, r, c) for k, (r, c) in enumerate(state.created)], "place int, response_id bigint, code string")

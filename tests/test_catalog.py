@@ -57,3 +57,11 @@ def test_quotes_with_a_few_words_changed_are_located(spark, tmp_path):
     spark.createDataFrame([(7, quote)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = [r.asDict() for r in QUERIES["quote_location"](spark, str(tmp_path)).collect()]
     assert [(r["row"], r["response_id"], r["mode"]) for r in got] == [(7, 1, "fuzzy")]
+
+
+@needs_data
+def test_embedding_and_loop_read_documents(spark):
+    documents = {r["doc_id"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
+    assert {r["doc_id"] for r in QUERIES["lexical_embedding"](spark, DATA).collect()} == documents
+    created = QUERIES["coding_loop"](spark, DATA).collect()
+    assert created and {r["response_id"] for r in created} <= documents
