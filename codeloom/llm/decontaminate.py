@@ -3,36 +3,41 @@
 Texts become token sequences in which numbers, names (capitalised words inside a sentence) and units after a number, or in one
 word with it, are typed placeholders. A capitalised word that begins a sentence may be a name or not: both forms of the windows
 around it are compared. Windows of WORDS template tokens of the benchmark are hash-joined with those of every document. An item is
-found in a document if, in one region of it or from first places anywhere, at least SIMILARITY of its windows are there and the
-slots are consistent: one value of the item stands for one value of the document, so a question with other numbers or names is
-caught, and a chance mix of placeholders is not. All places of a window count, so a variant before a copy does not hide it.
+found in a document if, in one region of it, at least SIMILARITY of its windows are there and the slots are consistent: one value
+of the item stands for one value of the document, so a question with other numbers or names is caught, and a chance mix of
+placeholders is not. All places of a window count, so a variant before a copy does not hide it; windows scattered over a long
+text are in no one region and do not add up.
 
-The benchmark is a query set: its windows are dealt into blocks of at most BLOCK windows, each block is broadcast, and every
-document is compared with every block. No document is gathered or shuffled.
+Items without a window of LITERALS literal tokens (fewer than WORDS tokens, or almost placeholders alone) have no template to
+speak of. They are joined by their tokens' own values: windows of WORDS tokens, or the whole sequence where it is shorter, and an
+item of a single token by documents of that token alone.
 
-Defined cases: null and empty texts match nothing; items with fewer than WORDS tokens have no window and match nothing; items
-with equal texts are each found; equal documents are each reported; texts of any length are read whole; empty tables give an
-empty result; other columns are not read.
+The benchmark is a query set: its windows are dealt into blocks of at most BLOCK windows, and every document is compared with every
+block. The build side of the join, a block's windows sorted by hash, is broadcast; documents probe it in vectors. No document is
+gathered or shuffled. The driver holds one block at a time: with several, what each finds is written to the shared folder.
+
+Defined cases: null and empty texts match nothing, as item or as document; items with equal texts are each found; equal documents
+are each reported; texts of any length are read whole; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from codeloom.llm.common import arrow_rows, text_udf
+from codeloom.llm.common import arrow_rows, cut, text_udf
 
 WORDS = 5
 SIMILARITY = 0.8
 #: Literal tokens that a window needs, and share of slot values that must be mapped one to one.
 LITERALS, CONSISTENT = 2, 0.8
-#: Windows of the benchmark that are broadcast at a time (16 bytes each).
+#: Windows of the benchmark that are broadcast at a time (about 100 bytes each, with their items).
 BLOCK = 1_000_000
 
 NUMBER, NAME, UNIT = 1, 2, 3
@@ -80,7 +85,7 @@ class Lexicon:
         data = low.encode("utf-8", "surrogatepass")
         if self.n == len(self.values):
             self.values, self.traits = np.concatenate((self.values, np.zeros_like(self.values))), np.concatenate((self.traits, np.zeros_like(self.traits)))
-        self.values[self.n] = (zlib.crc32(data) << 32 | zlib.adler32(data) ^ len(data)) & 0x7FFFFFFFFFFFFFFF | 16
+        self.values[self.n] = xxh64_intdigest(data) & 0x7FFFFFFFFFFFFFFF | 16
         self.traits[self.n] = kind, bare[0].isupper() and bare[1:].islower(), raw[-1] in ".!?:;\"”»"
         self.known[raw] = self.n
         self.n += 1
@@ -119,20 +124,22 @@ def canonical(text: str, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.n
     return token, value, other
 
 
-def windows(token: np.ndarray, words: int = WORDS) -> np.ndarray:
+def windows(token: np.ndarray, words: int = WORDS, literals: int = LITERALS) -> np.ndarray:
     """A hash of every window; 0 for those with too few literal tokens."""
     n = len(token) - words + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
+    h = np.full(n, words, dtype=np.uint64)
     literal = np.zeros(n, dtype=np.int64)
     for k in range(words):
         t = token[k : k + n]
         h = (h ^ t) * _MULTIPLIER
         h ^= h >> np.uint64(29)
-        literal += t > 3
+        if literals:
+            literal += t > 3
     h[h == 0] = 1
-    h[literal < LITERALS] = 0
+    if literals:
+        h[literal < literals] = 0
     return h
 
 
@@ -151,9 +158,9 @@ def consistent(pairs: list[tuple[int, int, int]]) -> bool:
 
 
 def regions(places: list[tuple[int, int]], least: float, slack: int) -> Iterator[dict[int, int]]:
-    """Ways to place at least `least` of an item's windows in a document, window -> place, from all (window, place) found.
-    First the alignments (place less window) by the windows that they hold, each alone and then with windows moved by
-    at most `slack`, the nearest place each; last the first place of every window, wherever it is."""
+    """Ways to place at least `least` of an item's windows in one region of a document, window -> place, from all
+    (window, place) found: the alignments (place less window) by the windows that they hold, each alone and then with windows
+    moved by at most `slack`, the nearest place each."""
     lines: dict[int, list[int]] = {}
     for i, d in places:
         lines.setdefault(d - i, []).append(i)
@@ -170,23 +177,20 @@ def regions(places: list[tuple[int, int]], least: float, slack: int) -> Iterator
             if len(where) >= least and (key := tuple(sorted(where.items()))) not in seen:
                 seen.add(key)
                 yield where
-    first: dict[int, int] = {}
-    for i, d in places:
-        first[i] = min(d, first.get(i, d))
-    yield first
 
 
-def _blocks(benchmark: DataFrame, block: int) -> list[list[tuple]]:
-    """Items (item_id, tokens, values, tokens with names at starts) in blocks of at most about `block` windows, one block at a time on the driver."""
+def _blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple]]:
+    """Items (item_id, tokens, values, tokens with names at starts) in blocks of at most about `block` windows, one block at a
+    time on the driver."""
     lexicon = Lexicon()
 
     def each(batch) -> dict:
         made = [canonical(t.as_py() or "", lexicon) for t in batch.column(1)]
-        return {"item_id": batch.column(0), } | {name: [x[k].view(np.int64) for x in made] for k, name in enumerate(("tokens", "vals", "others"))}
+        return {"item_id": batch.column(0)} | {name: [x[k].view(np.int64) for x in made] for k, name in enumerate(("tokens", "vals", "others"))}
 
     items = arrow_rows(benchmark, ["item_id", "text"], "item_id long, tokens array<long>, vals array<long>, others array<long>", each)
     held, n = [], 0
-    for r in items.toLocalIterator():
+    for r in items.where(F.size("tokens") > 0).toLocalIterator():
         if held and n + len(r["tokens"]) > block:
             yield held
             held, n = [], 0
@@ -196,12 +200,19 @@ def _blocks(benchmark: DataFrame, block: int) -> list[list[tuple]]:
         yield held
 
 
-def _finder(docs: DataFrame, items: list[tuple], similarity: float):
-    """A function text -> [(item, windows, similarity, changed slots)], with the block of items broadcast."""
-    hashes, owner, position, form = [], [], [], []
+def _index(items: list[tuple]) -> dict:
+    """The build side: windows sorted by hash with their item, position and form (1: only with names at starts)."""
+    hashes, owner, position, form, widths, forms = [], [], [], [], set(), []
     need = np.zeros(len(items), dtype=np.int64)
-    for k, (_, token, _, other) in enumerate(items):
+    for k, (_, token, value, other) in enumerate(items):
         h, g = windows(token), windows(other)
+        width = WORDS
+        if not h.any():  # no template: the tokens' own values
+            width = min(WORDS, len(value))
+            token = other = value
+            h = g = windows(value, width, 0)
+            widths.add(width)
+        forms.append((token, other, value, width))
         need[k] = np.count_nonzero(h)
         for n, (x, at) in enumerate(((h, np.flatnonzero(h)), (g, np.flatnonzero((g != 0) & (g != h))))):
             hashes.append(x[at])
@@ -210,15 +221,24 @@ def _finder(docs: DataFrame, items: list[tuple], similarity: float):
             form.append(np.full(len(at), n))
     h, o, p, f = (np.concatenate(x) for x in (hashes, owner, position, form))
     order = np.argsort(h, kind="stable")
-    index = {"hash": h[order], "owner": o[order], "at": p[order], "form": f[order], "need": need, "items": items}
-    held, lexicon = docs.sparkSession.sparkContext.broadcast(index), Lexicon()
+    return {"hash": h[order], "owner": o[order], "at": p[order], "form": f[order], "need": need, "forms": forms, "widths": sorted(widths)}
+
+
+def _finder(docs: DataFrame, items: list[tuple], similarity: float):
+    """A function text -> [(item, windows, similarity, changed slots)], with the block of items broadcast."""
+    held, lexicon = docs.sparkSession.sparkContext.broadcast(_index(items)), Lexicon()
 
     def found(text: str) -> list[tuple]:
         x = held.value
         token, value, other = canonical(text, lexicon)
         w, v = windows(token), windows(other)
         also = np.flatnonzero((v != 0) & (v != w))
-        w, place = np.concatenate((w, v[also])), np.concatenate((np.arange(len(w)), also))
+        w, place = [w, v[also]], [np.arange(len(w)), also]
+        for width in x["widths"]:
+            if width > 1 or len(value) == 1:
+                w.append(windows(value, width, 0))
+                place.append(np.arange(len(w[-1])))
+        w, place = np.concatenate(w), np.concatenate(place)
         lo = np.searchsorted(x["hash"], w, side="left")
         at = np.flatnonzero((w != 0) & (lo < len(x["hash"])))
         at = at[x["hash"][lo[at]] == w[at]]
@@ -237,9 +257,9 @@ def _finder(docs: DataFrame, items: list[tuple], similarity: float):
             least = similarity * x["need"][k]
             if len({i for i, _ in places}) < least:
                 continue
-            _, *forms, own = (x["items"][k][n] for n in (0, 1, 3, 2))
+            *forms, own, width = x["forms"][k]
             for where in regions(list(places), least, len(own) // 4 + WORDS):
-                slots = {(i + j, d + j) for i, d in where.items() for j in range(WORDS) if forms[places[i, d]][i + j] <= 3}
+                slots = {(i + j, d + j) for i, d in where.items() for j in range(width) if forms[places[i, d]][i + j] <= 3}
                 if consistent([(int(forms[1][i]), int(own[i]), int(value[d])) for i, d in slots]):
                     changed = sum(own[i] != value[d] for i, d in slots)
                     out.append((k, len(where), float(len(where) / x["need"][k]), int(changed)))
@@ -249,6 +269,9 @@ def _finder(docs: DataFrame, items: list[tuple], similarity: float):
     return found
 
 
+SCHEMA = "doc_id long, item_id long, n_windows long, similarity double, n_changed_slots long"
+
+
 def _match(docs: DataFrame, items: list[tuple], similarity: float) -> DataFrame:
     found, ids = _finder(docs, items, similarity), [i for i, *_ in items]
 
@@ -260,24 +283,28 @@ def _match(docs: DataFrame, items: list[tuple], similarity: float) -> DataFrame:
                     out[name].append(v)
         return out
 
-    return arrow_rows(docs, ["doc_id", "text"], "doc_id long, item_id long, n_windows long, similarity double, n_changed_slots long", each)
+    return arrow_rows(docs, ["doc_id", "text"], SCHEMA, each)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, n_windows, similarity, n_changed_slots) of every benchmark item found in a document."""
-    parts = [_match(docs, items, similarity) for items in _blocks(benchmark, block) if any(len(t) >= WORDS for _, t, *_ in items)]
-    if not parts:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("n_changed_slots")).where("false")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    blocks = _blocks(benchmark, block)
+    items, out = next(blocks, None), None
+    while items:
+        after = next(blocks, None)
+        found = _match(docs, items, similarity)
+        if out is not None or after:
+            found = cut(found, "found")
+        out, items = found if out is None else out.unionByName(found), after
+    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """The rows, with all their columns, in which no benchmark item is found."""
-    for items in _blocks(benchmark, block):
-        if any(len(t) >= WORDS for _, t, *_ in items):
-            found = _finder(docs, items, similarity)
-            docs = docs.where(text_udf(docs.sparkSession, "boolean", lambda text, found=found: not found(text or ""))("text"))
+    blocks = _blocks(benchmark, block)
+    items = next(blocks, None)
+    while items:
+        found, after = _finder(docs, items, similarity), next(blocks, None)
+        docs = docs.where(text_udf(docs.sparkSession, "boolean", lambda text, found=found: not found(text or ""))("text"))
+        docs, items = cut(docs, "clean", docs) if after else docs, after
     return docs
