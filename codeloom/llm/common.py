@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.runtime import ship
@@ -52,14 +52,25 @@ def compact(df: DataFrame, source: DataFrame) -> DataFrame:
     return df.coalesce(min(1_000_000, cores * max(1, -(-size // (FILE_BYTES * cores)))))
 
 
-def cut(df: DataFrame, label: str, source: DataFrame | None = None) -> DataFrame:
+def cut(df: DataFrame, label: str, source: DataFrame | None = None, held: list[str] | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the lineage ends there, and what is
-    computed once stays readable when executors are lost. With a source, its size decides the number of files."""
+    computed once stays readable when executors are lost. With a source, its size decides the number of files; `held` is
+    given the table's path, for `discard`."""
     path = f"{shared_dir(df.sparkSession)}/codeloom-{label}-{uuid.uuid4().hex}"
+    if held is not None:
+        held.append(path)
     (df if source is None else compact(df, source)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, held: list[str]) -> None:
+    """Delete tables of `cut` once what was made of them is written itself."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while held:
+        path = jvm.org.apache.hadoop.fs.Path(held.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def arrow_rows(df: DataFrame, columns: list[str], schema: str, each: Callable[[pa.RecordBatch], Iterator[dict] | dict]) -> DataFrame:
     """mapInArrow over the named columns; `each` gets a batch and returns one dict of column lists or arrays."""
     from pyspark.sql.types import StructType
@@ -88,10 +99,24 @@ def text_udf(spark: SparkSession, returns: str, each: Callable) -> Callable:
     return F.pandas_udf(run, returns)
 
 
-#: Names of the columns that tell rows apart.
-KEY = ["__kid", "__kth"]
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until df has no column of that name (Spark ignores case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
+def named(names: list[str]) -> list[Column]:
+    """Columns by their exact names, whatever characters these hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """Adds what tells rows apart whatever the ids hold: the id (nulls as one value) and the text's hash."""
-    return docs.withColumn(KEY[0], F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn(KEY[1], F.xxhash64("text"))
+def with_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Adds what tells rows apart whatever the ids hold, under names that docs does not have: the id (nulls as one value) and
+    the text's hash."""
+    kid, kth = fresh(docs, "kid", "kth")
+    return docs.withColumn(kid, F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn(kth, F.xxhash64("text")), [kid, kth]

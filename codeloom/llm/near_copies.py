@@ -1,11 +1,16 @@
-"""Near copies by exact shingle similarity, with candidates from bands of min-hashes.
+"""Near copies: SimHash links of the trie self-join and, beyond their reach, min-hash candidates; exact shingle similarity decides.
 
-A text's shingles are the set of its runs of `words` words, as 64-bit hashes. Texts with equal sets are one class. Each class
-has BANDS fingerprints, each of ROWS min-hashes: two classes of similarity s (shared shingles by all shingles of both) have one
-fingerprint at least in common with probability 1 - (1 - s^ROWS)^BANDS, which is 0.9997 at 0.8. Classes with a common
-fingerprint are a bucket. First all of a bucket are compared with its least class; whoever is still apart from most of the bucket
-is then compared with all of it. So every pair of a bucket is compared or connected by others, and a large group of
-near copies takes comparisons in proportion to its size. Links are decided by the sets alone; components are found over classes.
+A text's shingles are the set of its runs of `words` words, as 64-bit hashes. Texts with equal sets are one class. Candidates come
+from two sides. First, the binary trie self-join of simhash.py over the classes' fingerprints, with BUDGET differing bits. At a
+similarity of 0.8, however, two fingerprints differ in about ten of 64 bits, a budget under which a trie prunes almost nothing, so
+the method alone cannot find those pairs (README: the share it finds). So each class also has BANDS fingerprints, each of ROWS
+min-hashes: two classes of similarity s (shared shingles by all shingles of both) have one of them at least in common with
+probability 1 - (1 - s^ROWS)^BANDS, which is 0.9997 at 0.8.
+
+Classes with a common fingerprint are a bucket. First all of a bucket are compared with its least class; whoever is still apart
+from most of the bucket is then compared with all of it. So every pair of a bucket is compared or connected by others, and a
+large group of near copies takes comparisons in proportion to its size. Links are decided by the sets alone; components are
+found over classes.
 
 Defined cases: upper and lower case of ASCII are equal; null and empty texts are one class; fewer words than a shingle has are
 one shingle; other columns are not read; an empty table gives an empty result.
@@ -17,11 +22,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import KEY, arrow_rows, compact, cut, with_key
+from codeloom.llm import simhash
+from codeloom.llm.common import arrow_rows, compact, cut, named, with_key
 from codeloom.llm.components import components
-from codeloom.llm.simhash import LOWER, SEED
+from codeloom.llm.simhash import SEED
 
 WORDS, SIMILARITY = 5, 0.8
+#: Bits in which linked fingerprints of the trie differ at most.
+BUDGET = 3
 BANDS, ROWS = 20, 5
 #: Shingles whose min-hashes are taken at a time.
 CHUNK = 2048
@@ -31,15 +39,12 @@ _SHIFTS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the runs of `words` words."""
-    from xxhash import xxh64_intdigest
+    """Sorted distinct hashes of the runs of `words` words; a text without words has the empty run."""
+    return distinct(simhash.shingle_hashes(text, words))
+
 
-    tokens = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    line, ends = b" ".join(tokens), np.cumsum([len(t) + 1 for t in tokens]).tolist()
-    if len(tokens) <= words:
-        return np.array([xxh64_intdigest(line, SEED)], dtype=np.uint64)
-    starts = [0, *ends[:-1]]
-    return np.unique(np.array([xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(starts, ends[words - 1 :])], dtype=np.uint64))
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes.astype(np.uint64)) if len(hashes) else np.zeros(1, dtype=np.uint64)
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -61,21 +66,34 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def _sketches(keyed: DataFrame, words: int) -> DataFrame:
+def _sketches(keyed: DataFrame, key: list[str], words: int) -> DataFrame:
+    """(kid, kth, cls, fp, bands) of every row."""
+
     def each(batch) -> dict:
         from xxhash import xxh64_intdigest
 
-        sets = [shingles(t.as_py(), words) for t in batch.column(2)]
-        cls = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-        return {KEY[0]: batch.column(0), KEY[1]: batch.column(1), "cls": cls, "bands": [bands(s) for s in sets]}
+        raw = [simhash.shingle_hashes(t.as_py(), words) for t in batch.column(2)]
+        sets = [distinct(h) for h in raw]
+        signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+        cls, fp = signed([xxh64_intdigest(s.tobytes(), SEED) for s in sets]), signed([simhash.majority(h) for h in raw])
+        return {"kid": batch.column(0), "kth": batch.column(1), "cls": cls, "fp": fp, "bands": [bands(s) for s in sets]}
+
+    return arrow_rows(keyed, [*key, "text"], "kid long, kth long, cls long, fp long, bands array<long>", each)
+
 
-    return arrow_rows(keyed, [*KEY, "text"], f"{KEY[0]} long, {KEY[1]} long, cls long, bands array<long>", each)
+def _trie_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that connect what the trie self-join of their fingerprints connects."""
+    of = cut(classes.groupBy("fp").agg(F.min("cls").alias("first")), "leaves")
+    same = classes.join(of, "fp").where("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b"))
+    near = simhash.links(of.select("fp"), BUDGET)
+    x, y = (of.select(F.col("fp").alias(n), F.col("first").alias(f"{n}_first")) for n in ("a", "b"))
+    return same.union(near.join(x, "a").join(y, "b").select("a_first", "b_first"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar."""
     need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    texts = keyed.select(*KEY, "text").join(need.join(classes, "cls").select("cls", "key.*"), KEY)
+    texts = keyed.join(need.join(classes, "cls").select("cls", "key.*"), ["kid", "kth"])
 
     def sets(batch) -> dict:
         return {"cls": batch.column(0), "own": [shingles(t.as_py(), words).tobytes() for t in batch.column(1)]}
@@ -92,11 +110,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, words: int
 
 
 def links(classes: DataFrame, keyed: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between classes (cls, key, bands), connecting what similar pairs with a common fingerprint connect."""
+    """Edges (a, b) between classes (cls, key, fp, bands), connecting what similar pairs among the candidates connect. keyed: (kid,
+    kth, text) of every row."""
     under = classes.select("cls", F.explode("bands").alias("bucket"))
     size = under.groupBy("bucket").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     held = cut(under.join(size, "bucket"), "buckets")
-    pairs = cut(held.where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
+    starred = held.where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b"))
+    pairs = cut(starred.union(_trie_pairs(classes)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     edges = _verified(pairs, classes, keyed, words, similarity)
 
     label = F.coalesce("component", "cls").alias("label")
@@ -105,16 +125,17 @@ def links(classes: DataFrame, keyed: DataFrame, words: int = WORDS, similarity:
     open_ = cut(found.where("cls <> centre").join(most.where("labels > 1").select("bucket", F.col("most.label").alias("most")), "bucket"), "open")
     x = open_.where("label <> most").select("bucket", F.col("cls").alias("p"), F.col("label").alias("of"))
     more = x.join(open_, "bucket").where("of <> label").select(F.greatest("p", "cls").alias("a"), F.least("p", "cls").alias("b")).distinct()
-    more = cut(more.join(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    more = cut(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     return edges.union(_verified(more, classes, keyed, words, similarity)) if more.limit(1).count() else edges
 
 
 def representatives(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row, with all its columns, of each component: that with the least id (null ids first), then the least text hash."""
-    keyed = with_key(docs)
-    own = cut(_sketches(keyed, words), "sketches", docs)
-    classes = cut(own.groupBy("cls").agg(F.min(F.struct(*KEY)).alias("key"), F.first("bands").alias("bands")), "classes")
-    found = components(links(classes, keyed, words, similarity))
+    keyed, key = with_key(docs)
+    rows = keyed.select(F.col(key[0]).alias("kid"), F.col(key[1]).alias("kth"), "text")
+    own = cut(_sketches(keyed, key, words), "sketches", docs)
+    classes = cut(own.groupBy("cls").agg(F.min(F.struct("kid", "kth")).alias("key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+    found = components(links(classes, rows, words, similarity))
     labelled = classes.join(found, classes["cls"] == found["node"], "left").select("key", F.coalesce("component", "cls").alias("label"))
-    chosen = labelled.groupBy("label").agg(F.min("key").alias("least")).select("least.*")
-    return compact(keyed.join(chosen, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns), docs)
+    chosen = labelled.groupBy("label").agg(F.min("key").alias("least")).select(F.col("least.kid").alias(key[0]), F.col("least.kth").alias(key[1]))
+    return compact(keyed.join(chosen, key, "left_semi").dropDuplicates(key).select(*named(docs.columns)), docs)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import KEY, arrow_rows, compact, cut, with_key
+from codeloom.llm.common import arrow_rows, compact, cut, named, with_key
 from codeloom.llm.components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -30,21 +30,34 @@ SUBTRIE = 20_000
 FRONTIER = 1 << 20
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles; bytes.split() splits at exactly 0x20 and 0x09-0x0D."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of every word shingle in order, big-endian; fewer words are one shingle, none are no shingle. bytes.split() splits at
+    exactly 0x20 and 0x09-0x0D."""
     from xxhash import xxh64_digest
 
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not tokens:
-        return 0
+        return np.zeros(0, dtype=">u8")
     line, ends = b" ".join(tokens), np.cumsum([len(t) + 1 for t in tokens]).tolist()
     starts = [0, *ends[:-1]]
-    n = max(1, len(tokens) - words + 1)
     last = ends[words - 1 :] if len(tokens) >= words else ends[-1:]
-    bits = np.unpackbits(np.frombuffer(b"".join([xxh64_digest(line[a : b - 1], SEED) for a, b in zip(starts, last)]), dtype=np.uint8).reshape(n, 8), axis=1)
+    return np.frombuffer(b"".join([xxh64_digest(line[a : b - 1], SEED) for a, b in zip(starts, last)]), dtype=">u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the big-endian hashes have set."""
+    n = len(hashes)
+    if not n:
+        return 0
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1)
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long."""
 
@@ -209,12 +222,12 @@ def _least(own: DataFrame, key, budget: int, subtrie: int) -> DataFrame:
 
 def representatives(docs: DataFrame, words: int = 3, budget: int = 2, subtrie: int = SUBTRIE) -> DataFrame:
     """One row, with all its columns, of each component: that with the least id (null ids first), then the least text hash."""
-    keyed = with_key(docs)
+    keyed, key = with_key(docs)
 
     def each(batch) -> dict:
         fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
-        return {KEY[0]: batch.column(0), KEY[1]: batch.column(1), "fp": fps}
+        return {"kid": batch.column(0), "kth": batch.column(1), "fp": fps}
 
-    own = cut(arrow_rows(keyed, [*KEY, "text"], f"{KEY[0]} long, {KEY[1]} long, fp long", each), "fingerprints", docs)
-    chosen = _least(own, F.struct(*KEY), budget, subtrie).select("least.*").distinct()
-    return compact(keyed.join(chosen, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns), docs)
+    own = cut(arrow_rows(keyed, [*key, "text"], "kid long, kth long, fp long", each), "fingerprints", docs)
+    chosen = _least(own, F.struct(F.col("kid").alias(key[0]), F.col("kth").alias(key[1])), budget, subtrie).select("least.*").distinct()
+    return compact(keyed.join(chosen, key, "left_semi").dropDuplicates(key).select(*named(docs.columns)), docs)

@@ -9,11 +9,18 @@ stack-scan of those gives the tree of intervals; inside an interval, the suffixe
 and where the left extensions stop to agree, a maximal repeat ends. Every occurrence of every maximal repeat of at least
 `size` bytes is marked, not only that of neighbours.
 
-A group with more than GROUP different runs or SUFFIXES suffixes (a very frequent phrase in many contexts) is not given to one
-task: its windows are counted by their own hash, in a distributed sum. Contents are told apart by 64-bit hashes within their minimizer's 64-bit hash.
+A group with more than GROUP different runs or SUFFIXES suffixes (a very frequent phrase in many contexts) is split before
+it is given to tasks: its runs' contents are dealt out again in the same way with the anchors in another order, so windows meet by
+another of their strings. What has not parted after LEVELS orders (no such group is known) is counted by window hashes in a
+distributed sum. Contents are told apart by XXH64 within their minimizer's group; two different ones of a group of g runs are taken
+as equal with odds of g * g / 2^65.
+
+Passages can be counted in words instead of bytes: each word, and each character of scripts that are written without spaces, then
+stands as CODE bytes.
 
 Defined cases: null texts are empty; texts shorter than `size` keep all; equal rows repeat each other; rows with the same id
-and other texts are told apart by the text's hash; an empty table gives an empty result; other columns are not read.
+and other texts are told apart by the text's hash; texts of any length are read whole, CHUNK by CHUNK; an empty table gives an empty
+result; other columns are not read, and none of their names clashes with those used here.
 """
 
 from __future__ import annotations
@@ -26,15 +33,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from codeloom.llm.common import KEY, arrow_rows, bound_batches, compact, cut, with_key
-from codeloom.llm.superwindows import ANCHOR, Hashes, runs
+from codeloom.llm.common import arrow_rows, bound_batches, compact, cut, discard, fresh, named, with_key
+from codeloom.llm.superwindows import ANCHOR, anchors, runs
 
 SIZE = 400
 #: Runs and suffixes that one task sorts together at most.
-GROUP, SUFFIXES = 8192, 200_000
-#: Bytes that stand for a word where passages are counted in words, and words whose bytes are kept.
+GROUP, SUFFIXES = 2048, 50_000
+#: Orders of the anchors, and parts that a minimizer's runs are joined in.
+LEVELS, SALTS = 4, 8
+#: Bytes that stand for a word where passages are counted in words, and words whose bytes are held in memory.
 CODE, MOST_CODES = 4, 500_000
+#: Characters of scripts without spaces: South-East Asian, Japanese, Chinese.
+_ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+ALONE, UNIT = re.compile(f"[{_ALONE}]"), re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
 
 
 def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -103,7 +116,7 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], size: int, left_mos
         yield d, [(int(index[left[own[k]]]), int(longest[k])) for k in keep]
 
 
-def repeated_windows(texts: list[bytes], minimizer: int, single: list[int], size: int) -> dict[int, list[tuple[int, int]]]:
+def repeated_windows(texts: list[bytes], minimizer: int, single: list[int], size: int, level: int = 0) -> dict[int, list[tuple[int, int]]]:
     """Text -> ranges (first, last) of windows that also start elsewhere in the group. single: the minimizer's only
     position in the text, or -1 if it has several. A window belongs to the first minimizer in it, so what stands left of a
     suffix ends before the minimizer that comes before."""
@@ -112,8 +125,7 @@ def repeated_windows(texts: list[bytes], minimizer: int, single: list[int], size
         if p >= 0:
             at = [p]
         else:
-            grams = Hashes(np.frombuffer(text, dtype=np.uint8)).all(ANCHOR)
-            at = np.flatnonzero(grams == np.uint64(minimizer)).tolist()
+            at = np.flatnonzero(anchors(np.frombuffer(text, dtype=np.uint8), level) == np.uint64(minimizer)).tolist()
         before = -1
         for p in at:
             left = text[max(before + 1, p - size + ANCHOR) : p][::-1]
@@ -169,32 +181,37 @@ class Coded(dict):
         return code
 
     def __call__(self, text: str | None) -> bytes:
-        return b"".join([self[w] for w in (text or "").split()])
+        return b"".join([self[w] for w in units(text or "")])
+
 
+def units(text: str) -> list[str]:
+    """The words of a text; characters of scripts without spaces are words of their own."""
+    return text.split() if text.isascii() or not ALONE.search(text) else UNIT.findall(text)
 
-def _emitted(keyed: DataFrame, size: int, code: Callable[[str | None], bytes] = plain) -> DataFrame:
+
+def _emitted(rows: DataFrame, size: int, code: Callable, level: int) -> DataFrame:
     def each(batch) -> dict:
         cols: dict[str, list] = {k: [] for k in ("kid", "kth", "m", "t", "s", "n", "times", "at")}
         for kid, kth, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             data = code(text.as_py())
             if len(data) < size:
                 continue
-            m, t, s, n, times, at = runs(data, size)
+            m, t, s, n, times, at = runs(data, size, level)
             cols["kid"].append(np.full(len(m), kid))
             cols["kth"].append(np.full(len(m), kth))
             for k, v in (("m", _signed(m)), ("t", _signed(t)), ("s", s), ("n", n), ("times", times), ("at", at)):
                 cols[k].append(v)
         return {k: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for k, v in cols.items()}
 
-    return arrow_rows(keyed, [*KEY, "text"], "kid long, kth long, m long, t long, s long, n int, times int, at int", each)
+    return arrow_rows(rows, ["kid", "kth", "text"], "kid long, kth long, m long, t long, s long, n int, times int, at int", each)
 
 
-def _contents(keyed: DataFrame, wanted: DataFrame, size: int, code: Callable[[str | None], bytes] = plain) -> DataFrame:
+def _contents(rows: DataFrame, wanted: DataFrame, size: int, code: Callable) -> DataFrame:
     """(m, t, single, hot, content) of one text per run of `wanted`, fetched from its document."""
     lists = wanted.groupBy("kid", "kth").agg(F.collect_list(F.struct("m", "t", "single", "hot", "s", "n")).alias("x"))
     lists = lists.select("kid", "kth", *[F.col(f"x.{c}").alias(c) for c in ("m", "t", "single", "hot", "s", "n")])
     # equal rows share a key: each row is fetched once
-    joined = keyed.select(F.col(KEY[0]).alias("kid"), F.col(KEY[1]).alias("kth"), "text").join(lists, ["kid", "kth"])
+    joined = rows.join(lists, ["kid", "kth"])
 
     def each(batch) -> dict:
         out: dict[str, list] = {k: [] for k in ("m", "t", "single", "hot", "content")}
@@ -210,14 +227,14 @@ def _contents(keyed: DataFrame, wanted: DataFrame, size: int, code: Callable[[st
     return arrow_rows(joined, ["text", "m", "t", "single", "hot", "s", "n"], "m long, t long, single int, hot boolean, content binary", each)
 
 
-def _tree_ranges(contents: DataFrame, size: int) -> DataFrame:
+def _tree_ranges(contents: DataFrame, size: int, level: int) -> DataFrame:
     """(m, t, first, last) from the interval trees of groups that fit one task."""
     import pandas as pd
 
     def solve(m: int, texts: list[bytes], t: list[int], single: list[int], out: list) -> None:
         unique = {v: k for k, v in enumerate(t)}
         keep = sorted(unique.values())
-        for k, ranges in repeated_windows([texts[i] for i in keep], m % (1 << 64), [single[i] for i in keep], size).items():
+        for k, ranges in repeated_windows([texts[i] for i in keep], m % (1 << 64), [single[i] for i in keep], size, level).items():
             out += [(m, t[keep[k]], a, b) for a, b in ranges]
 
     def run(batches):
@@ -246,12 +263,14 @@ def _tree_ranges(contents: DataFrame, size: int) -> DataFrame:
 
 
 def _hashed_ranges(contents: DataFrame, size: int) -> DataFrame:
-    """(m, t, first, last) of groups too large for one task: windows are counted by hash, aggregated before the shuffle."""
+    """(m, t, first, last) of what no order of the anchors parts: windows are counted by hash, aggregated before the shuffle."""
+    from xxhash import xxh64_intdigest
 
     def each(batch) -> dict:
         out: dict[str, list] = {k: [] for k in ("m", "t", "o", "w")}
         for m, t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            w = Hashes(np.frombuffer(c.as_py(), dtype=np.uint8)).all(size)
+            data = memoryview(c.as_py())
+            w = np.array([xxh64_intdigest(data[k : k + size]) for k in range(len(data) - size + 1)], dtype=np.uint64)
             out["m"].append(np.full(len(w), m))
             out["t"].append(np.full(len(w), t))
             out["o"].append(np.arange(len(w)))
@@ -264,44 +283,58 @@ def _hashed_ranges(contents: DataFrame, size: int) -> DataFrame:
     return hit.select("m", "t", F.col("o").alias("first"), F.col("o").alias("last"))
 
 
-def _span_lists(keyed: DataFrame, size: int, group: int, code: Callable[[str | None], bytes] = plain) -> DataFrame:
-    """Per key of a row that loses bytes: arrays a and b of the ranges [a, b) to remove, in any order."""
-    emitted = cut(_emitted(keyed, size, code), "windows", keyed)
+def _repeats(rows: DataFrame, size: int, group: int, code: Callable, held: list[str], level: int = 0, last: int = LEVELS) -> DataFrame:
+    """(kid, kth, a, b): ranges [a, b) of bytes to remove from rows (kid, kth, text), in any order and overlapping. held: gets
+    the paths of the tables that the result reads."""
+    emitted = cut(_emitted(rows, size, code, level), "windows", rows, held)
     grouped = emitted.groupBy("m", "t").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("kid", "kth", "s")).alias("of"), F.max("n").alias("n"), F.max("times").alias("times"), F.max("at").alias("at"))
-    run = cut(grouped, "runs")  # read three times below
+    run = cut(grouped, "runs", held=held)  # read three times below
     # a group is open if it has several suffixes and not all its runs are known as copies
     groups = run.groupBy("m").agg(F.count(F.lit(1)).alias("runs"), F.sum("times").alias("suffixes"), F.min("copies").alias("least")).where("suffixes > 1 and least = 1")
+    hot = ((F.col("runs") > group) | (F.col("suffixes") > SUFFIXES)).alias("hot")
+    # a frequent minimizer's runs are joined in parts, so they are no hot key
+    parts = groups.select("m", hot, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
     single = F.when(F.col("times") == 1, F.col("at")).otherwise(-1)
-    wanted = run.join(groups, "m").select("m", "t", single.alias("single"), ((F.col("runs") > group) | (F.col("suffixes") > SUFFIXES)).alias("hot"), "of.kid", "of.kth", "of.s", "n")
-    contents = cut(_contents(keyed, wanted, size, code), "contents", keyed)
-    ranges = _tree_ranges(contents.where("not hot"), size)
+    wanted = run.withColumn("part", F.pmod("t", F.lit(SALTS)).cast("int")).join(parts, ["m", "part"]).select("m", "t", single.alias("single"), "hot", "of.kid", "of.kth", "of.s", "n")
+    contents = cut(_contents(rows, wanted, size, code), "contents", rows, held)
+    ranges = _tree_ranges(contents.where("not hot"), size, level)
     if contents.where("hot").limit(1).count():
-        ranges = ranges.union(_hashed_ranges(contents.where("hot"), size))
+        large = contents.where("hot")
+        if level + 1 < last:
+            again = _repeats(large.select(F.col("m").alias("kid"), F.col("t").alias("kth"), F.col("content").alias("text")).dropDuplicates(["kid", "kth"]), size, group, bytes, held, level + 1, last)
+            ranges = ranges.union(again.select("kid", "kth", "a", (F.col("b") - size).cast("int")))
+        else:
+            ranges = ranges.union(_hashed_ranges(large, size))
     whole = run.where("copies > 1").select("m", "t", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
-    resolved = whole.union(ranges)
-    spans = emitted.join(resolved, ["m", "t"]).select("kid", "kth", (F.col("s") + F.col("first")).alias("a"), (F.col("s") + F.col("last") + size).alias("b"))
-    lists = spans.groupBy("kid", "kth").agg(F.collect_set(F.struct("a", "b")).alias("x"))
-
-    return lists.select(F.col("kid").alias(KEY[0]), F.col("kth").alias(KEY[1]), F.col("x.a").alias("__a"), F.col("x.b").alias("__b"))
+    # a run that very many rows share is a hot key of the large side alone: the skew join deals it out
+    resolved = cut(whole.union(ranges), "resolved", held=held)
+    return emitted.join(resolved, ["m", "t"]).select("kid", "kth", (F.col("s") + F.col("first")).alias("a"), (F.col("s") + F.col("last") + size).alias("b"))
+
+
+def _span_lists(keyed: DataFrame, key: list[str], name: str, size: int, group: int, code: Callable = plain, levels: int = LEVELS) -> DataFrame:
+    """(key, name): per row that loses bytes, arrays a and b of the ranges [a, b) to remove, in any order. It is written, and
+    the tables behind it are deleted."""
+    held: list[str] = []
+    rows = keyed.select(F.col(key[0]).alias("kid"), F.col(key[1]).alias("kth"), "text")
+    lists = _repeats(rows, size, group, code, held, last=levels).groupBy("kid", "kth").agg(F.collect_set(F.struct("a", "b")).alias("x"))
+    out = cut(lists.select(F.col("kid").alias(key[0]), F.col("kth").alias(key[1]), F.struct(F.col("x.a").alias("a"), F.col("x.b").alias("b")).alias(name)), "spans")
+    discard(keyed.sparkSession, held)
+    return out
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = SIZE, group: int = GROUP, levels: int = LEVELS) -> DataFrame:
     """(doc_id, text, spans) of every row: the maximal byte ranges [start, end) to remove, in order."""
-    keyed = with_key(docs.select("doc_id", "text"))
-    joined = keyed.join(_span_lists(keyed, size, group), KEY, "left")
+    keyed, key = with_key(docs.select("doc_id", "text"))
+    joined = keyed.join(_span_lists(keyed, key, "spans", size, group, levels=levels), key, "left")
 
     def each(batch) -> dict:
-        out = []
-        for a, b in zip(batch.column(2), batch.column(3)):
-            a, b = a.as_py(), b.as_py()
-            out.append(_spans(a, b))
-        return {"doc_id": batch.column(0), "text": batch.column(1), "spans": out}
+        return {"doc_id": batch.column(0), "text": batch.column(1), "spans": [_spans(x["a"], x["b"]) if x else [] for x in batch.column(2).to_pylist()]}
 
-    return arrow_rows(joined, ["doc_id", "text", "__a", "__b"], "doc_id long, text string, spans array<struct<start:long,end:long>>", each)
+    return arrow_rows(joined, ["doc_id", "text", "spans"], "doc_id long, text string, spans array<struct<start:long,end:long>>", each)
 
 
 def _spans(a, b) -> list[dict]:
-    return [{"start": x, "end": y + 1} for x, y in merged([(int(x), int(y) - 1) for x, y in zip(a, b)])] if a is not None else []
+    return [{"start": x, "end": y + 1} for x, y in merged([(int(x), int(y) - 1) for x, y in zip(a, b)])]
 
 
 def kept(data: bytes, spans: list[dict]) -> bytes:
@@ -315,7 +348,7 @@ def kept(data: bytes, spans: list[dict]) -> bytes:
 
 def word_ranges(text: str, a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Byte ranges of a text for ranges of its coded bytes: the whole words that lie in them."""
-    words = [m.span() for m in re.finditer(r"\S+", text)]
+    words = [m.span() for m in (UNIT if ALONE.search(text) else re.compile(r"\S+")).finditer(text)]
     ends = np.cumsum([0, *[len(c.encode("utf-8", "surrogatepass")) for c in text]]) if not text.isascii() else None
     out = []
     for s in _spans(a, b):
@@ -328,27 +361,29 @@ def word_ranges(text: str, a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 def without_repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP, words: int | None = None) -> DataFrame:
     """The rows, with all their columns, without repeated strings in their text; n_chars is counted anew. Strings of at least
-    `size` bytes go and, where it is given, strings of at least `words` words, whatever their bytes. A character that loses
-    some of its bytes goes; a row of whose text only white space is left goes."""
-    keyed, names = with_key(docs), docs.columns
-    lists = _span_lists(keyed, size, group)
+    `size` bytes go and, where it is given, passages of at least `words` words, whatever their bytes. A character that loses some
+    of its bytes goes; a row that loses something and has only white space left goes."""
+    (keyed, key), names = with_key(docs), docs.columns
+    own = fresh(keyed, "spans", "passages")
+    lists = _span_lists(keyed, key, own[0], size, group)
     if words:
-        coded = _span_lists(keyed, CODE * words, group, Coded()).select(*KEY, F.col("__a").alias("__c"), F.col("__b").alias("__d"))
-        lists = lists.join(coded, KEY, "full")
-    else:
-        lists = lists.withColumns({"__c": F.lit(None).cast("array<int>"), "__d": F.lit(None).cast("array<int>")})
-    joined = keyed.join(lists, KEY, "left").select(*names, "__a", "__b", "__c", "__d")
+        lists = lists.join(_span_lists(keyed, key, own[1], CODE * words, group, Coded()), key, "full")
+    # columns travel by their place, since a name may hold what a Python function's input cannot
+    places = [f"c{k}" for k in range(len(names))]
+    joined = keyed.join(lists, key, "left").select(*[c.alias(p) for c, p in zip(named(names), places)], *own[: 2 if words else 1])
+    schema = StructType([StructField(p, f.dataType) for p, f in zip(places, docs.schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = {n: b.column(k) for k, n in enumerate(names)}
-            marks = [b.column(len(names) + k) for k in range(4)]
-            hit = np.flatnonzero(np.asarray(marks[0].is_valid()) | np.asarray(marks[2].is_valid()))
+            own, marks = {n: b.column(k) for k, n in enumerate(names)}, [b.column(k) for k in range(len(names), b.num_columns)]
             texts, keep = own["text"].to_pylist(), np.ones(len(b), dtype=bool)
             counts = own["n_chars"].to_pylist() if "n_chars" in own else None
-            for k in hit.tolist():
-                x, y, c, d = (m[k].as_py() for m in marks)
-                found = [*zip(x or [], y or []), *(word_ranges(texts[k], c, d) if c is not None else [])]
+            hit = np.any([np.asarray(m.is_valid()) for m in marks], axis=0)
+            for k in np.flatnonzero(hit).tolist():
+                spans, *passages = (m[k].as_py() for m in marks)
+                found = list(zip(spans["a"], spans["b"])) if spans else []
+                for x in passages:
+                    found += word_ranges(texts[k], x["a"], x["b"]) if x else []
                 if not found:
                     continue
                 texts[k] = kept(texts[k].encode(), _spans(*zip(*found))).decode("utf-8", "ignore")
@@ -358,7 +393,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP, words
             own["text"] = pa.array(texts, type=own["text"].type)
             if counts:
                 own["n_chars"] = pa.array(counts, type=own["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([own[n] for n in names], names=names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([own[n] for n in names], names=places).filter(pa.array(keep))
 
     bound_batches(docs.sparkSession)
-    return compact(joined.mapInArrow(run, docs.schema), docs)
+    return compact(joined.mapInArrow(run, schema), docs).toDF(*names)

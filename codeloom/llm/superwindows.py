@@ -2,12 +2,15 @@
 
 Every window of `size` bytes has a minimizer: the least hash of the ANCHOR-byte strings inside it. Neighbouring windows with
 one minimizer make a run, and equal windows always lie in runs with the same minimizer, so windows can be compared minimizer
-by minimizer. A run of n windows is held as n + size - 1 bytes, and its content has a 64-bit hash of its own.
+by minimizer. A run of n windows is held as n + size - 1 bytes, and its content has a 64-bit hash of its own (XXH64 of the bytes;
+the polynomial sums only order the anchors). Each level orders the anchors anew, so windows that meet on one level by a frequent
+anchor part on the next.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from xxhash import xxh64_intdigest
 
 ANCHOR = 24
 #: Windows that a run has at most, and bytes of a text that are hashed at a time.
@@ -41,7 +44,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Polynomial prefix sums of a byte string: the hash of any slice in constant time."""
+    """Polynomial prefix sums of a byte string, for the hashes of all its slices of one size."""
 
     def __init__(self, data: np.ndarray):
         up, self.down = _powers(len(data) + 1)
@@ -49,9 +52,6 @@ class Hashes:
         self.sums[0] = 0
         np.cumsum(BYTE_VALUES[data] * up[:-1], out=self.sums[1:])
 
-    def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
     def all(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
         return _mix((self.sums[size:] - self.sums[:n]) * self.down[:n] + _U(size))
@@ -69,16 +69,22 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], front[width - 1 : width - 1 + n])
 
 
-def runs(data: bytes, size: int) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, level: int) -> np.ndarray:
+    """The hash of every ANCHOR-byte string, in the order of a level."""
+    grams = Hashes(data).all(ANCHOR)
+    return _mix(grams ^ (_U(level) * _BASE)) if level else grams
+
+
+def runs(data: bytes, size: int, level: int = 0) -> tuple[np.ndarray, ...]:
     """(minimizer, content hash, first window, windows, times it holds its minimizer, where first) of every run of a byte
     string; the last counts bytes from the run's start."""
     out: list[tuple] = []
+    view = memoryview(data)
     whole = np.frombuffer(data, dtype=np.uint8)
     width = size - ANCHOR + 1
     for begin in range(0, len(whole) - size + 1, CHUNK):
         part = whole[begin : begin + CHUNK + size - 1]
-        h = Hashes(part)
-        grams = h.all(ANCHOR)
+        grams = anchors(part, level)
         least = sliding_least(grams, width)
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         length = np.diff(np.r_[first, len(least)])
@@ -90,7 +96,9 @@ def runs(data: bytes, size: int) -> tuple[np.ndarray, ...]:
             length = np.minimum(stop - first, RUN_WINDOWS)
         m = least[first]
         at = [np.flatnonzero(grams[a : a + n + width - 1] == v) for a, n, v in zip(first.tolist(), length.tolist(), m)]
-        out.append((m, h.slices(first, first + length + size - 1), first + begin, length, np.array([len(x) for x in at]), np.array([x[0] for x in at])))
+        first += begin
+        content = np.array([xxh64_intdigest(view[a : a + n + size - 1]) for a, n in zip(first.tolist(), length.tolist())], dtype=np.uint64)
+        out.append((m, content, first, length, np.array([len(x) for x in at]), np.array([x[0] for x in at])))
     if not out:
         return tuple(np.zeros(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out))

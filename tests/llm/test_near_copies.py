@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as cp
 from codeloom.llm import near_copies as nc
+from codeloom.llm import simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,3 +56,11 @@ def test_fingerprints_reach_pairs_of_0_8():
             other[20 + 40 * k] = "x"
         hit += bool(set(nc.bands(nc.shingles(" ".join(text)))) & set(nc.bands(nc.shingles(" ".join(other)))))
     assert hit >= 297
+
+
+def test_clashing_columns_are_kept(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "other words are here at last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as kid", "8 as __kid", "9 as cls", "10 as key", "'x' as `a.b`", "11 as label")
+    for got in (cp.drop_near_duplicates(spark, docs, ""), simhash.representatives(docs)):
+        assert got.columns == docs.columns
+        assert sorted(tuple(r) for r in got.collect()) == [(1, rows[0][1], 7, 8, 9, 10, "x", 11), (3, rows[2][1], 7, 8, 9, 10, "x", 11)]

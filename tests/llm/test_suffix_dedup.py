@@ -89,3 +89,37 @@ def test_stage_cuts_passages_of_51_words_and_leaves_those_of_50(spark):
     for k, (a, b) in enumerate(own):
         left = f"{a} x{k} y{k} {b}" if k < 3 else rows[k][1]
         assert got[k]["text"].split() == left.split() and got[k]["n_chars"] == len(got[k]["text"])
+
+
+def thue_morse(n, a, b):
+    return "".join(a if k.bit_count() % 2 == 0 else b for k in range(n))
+
+
+@pytest.mark.parametrize("levels", [1, 4])
+def test_strings_on_which_polynomial_sums_collide_and_groups_that_must_be_split(spark, levels):
+    r = random.Random(levels)
+    swap = lambda t: t.translate(str.maketrans("ab", "ba"))
+    word = lambda: "".join(r.choice("cdef") for _ in range(4))
+    tm = thue_morse(1024, "a", "b")
+    frequent = "the very same phrase stands here"
+    texts = [tm, swap(tm), tm[:512] + "x" + swap(tm)[:512], thue_morse(700, "ab", "ba"), thue_morse(300, "q", "r")]
+    texts += [f"{' '.join(word() for _ in range(12))} {frequent} {' '.join(word() for _ in range(12))}" for _ in range(40)]
+    texts += [texts[9][:90] + "!" + texts[9][90:], texts[10] + texts[11]]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r for r in sd.repeated_spans(docs, 64, 2, levels).collect()}
+    for k, want in enumerate(brute(texts, 64)):
+        data, spans = texts[k].encode(), [s.asDict() for s in got[k]["spans"]]
+        assert (len(data), sum(s["end"] - s["start"] for s in spans), len(spans), sha256(sd.kept(data, spans)).hexdigest()) == want, k
+
+
+def test_clashing_columns_and_scripts_without_spaces(spark):
+    r = random.Random(4)
+    # 60 characters of a script without spaces count as 60 words
+    shared = "".join(chr(0x4E00 + r.randint(0, 900)) for _ in range(60))
+    rows = [(k, f"{''.join(chr(0x4E00 + r.randint(0, 900)) for _ in range(30))} x{k} {shared} y{k}", 5) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kid int").selectExpr("*", "1 as __kid", "2 as __a", "3 as spans", "4 as KTH", "5 as m", "'z' as `a.b`", "6 as passages")
+    got = sd.without_repeats(docs, words=51)
+    assert got.columns == docs.columns
+    for x in got.collect():
+        assert (x["kid"], x["__kid"], x["__a"], x["spans"], x["KTH"], x["m"], x["a.b"], x["passages"]) == (5, 1, 2, 3, 4, 5, "z", 6)
+        assert x["text"].split() == [w for w in rows[x["doc_id"]][1].split() if w != shared]
