@@ -24,8 +24,8 @@ def _plain(text: str | None) -> str:
 
 
 def first_hits(texts: DataFrame, withheld: DataFrame, key: str, n: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(key, at): offset in the squeezed lower-case text of the first run of n characters that a withheld text has too. Shorter
-    texts count whole."""
+    """(key, at): offset in the squeezed lower-case text of the first run of n characters that a withheld text has too, one row
+    a key however often it comes. Shorter texts count whole."""
     spark = texts.sparkSession
     ship(spark)
 
@@ -55,4 +55,4 @@ def first_hits(texts: DataFrame, withheld: DataFrame, key: str, n: int = SHINGLE
 
         found = texts.select(F.col(key).alias("__key"), "text").mapInPandas(run, f"{key} {kind}, at int")
         out = found if out is None else out.unionByName(found)
-    return out if parts == 1 else out.groupBy(key).agg(F.min("at").alias("at"))
+    return out.groupBy(key).agg(F.min("at").alias("at"))
