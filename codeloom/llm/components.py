@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import cut
+from codeloom.operators.joins import hot_join
 
 #: Steps alternate until nothing changes; the number grows with the logarithm of the longest path.
 MOST_STEPS = 60
@@ -14,18 +15,19 @@ MOST_STEPS = 60
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b), component being its least reachable node.
 
-    Each step keeps connectivity and one edge per node pair; minima are aggregated before the shuffle, so a node with very
-    many neighbours is no hot key, and each step is cut into the shared folder. Self loops are allowed; nulls are not."""
+    Each step keeps connectivity and one edge per node pair; minima are aggregated before the shuffle, a node with very many
+    neighbours is joined by broadcast, so it is no hot key, and each step is cut into the shared folder. Self loops are allowed;
+    nulls are not."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(MOST_STEPS):
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("times")).select("u", F.least("u", "m").alias("m"), "times")
         # large star: every larger neighbour of u goes to u's least neighbour
-        star = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        star = hot_join(both, least, ["u"], "times", 2 * e.count()).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(star.union(e.where("u = v")).distinct(), "large")
         # small star: u and its smaller neighbours go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("times"))
+        small = hot_join(large, least, ["u"], "times", large.count()).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         after = cut(small.where("u > v").union(e.where("u = v")).distinct(), "small")
         if not after.join(e, ["u", "v"], "left_anti").limit(1).count() and not e.join(after, ["u", "v"], "left_anti").limit(1).count():
             break

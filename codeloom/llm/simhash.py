@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import arrow_rows, compact, cut, named, with_key
 from codeloom.llm.components import components
+from codeloom.operators.joins import hot_join
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -209,15 +210,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, subtrie: i
     own = cut(fingerprints(docs, words), "fingerprints", docs)
     of = _least(own, "doc_id", budget, subtrie).withColumnRenamed("least", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return own.join(of, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return hot_join(own, of, ["fp"], "copies", own.count()).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def _least(own: DataFrame, key, budget: int, subtrie: int) -> DataFrame:
-    """(fp, least): for every distinct fingerprint, the least key of all rows in its component."""
-    classes = cut(own.groupBy("fp").agg(F.min(key).alias("key")), "classes")
+    """(fp, copies, least): for every distinct fingerprint, its rows and the least key of all rows in its component."""
+    classes = cut(own.groupBy("fp").agg(F.min(key).alias("key"), F.count(F.lit(1)).alias("copies")), "classes")
     found = components(links(classes.select("fp"), budget, subtrie))
-    labelled = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "key", F.coalesce("component", "fp").alias("label"))
-    return labelled.join(labelled.groupBy("label").agg(F.min("key").alias("least")), "label").select("fp", "least")
+    labelled = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "copies", "key", F.coalesce("component", "fp").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("times"))
+    return cut(hot_join(labelled, least, ["label"], "times", classes.count()).select("fp", "copies", "least"), "least")
 
 
 def representatives(docs: DataFrame, words: int = 3, budget: int = 2, subtrie: int = SUBTRIE) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql.types import StructField, StructType
 
 from codeloom.llm.common import arrow_rows, bound_batches, compact, cut, discard, fresh, named, with_key
 from codeloom.llm.superwindows import ANCHOR, anchors, runs
+from codeloom.operators.joins import hot_join
 
 SIZE = 400
 #: Runs and suffixes that one task sorts together at most.
@@ -305,10 +306,12 @@ def _repeats(rows: DataFrame, size: int, group: int, code: Callable, held: list[
             ranges = ranges.union(again.select("kid", "kth", "a", (F.col("b") - size).cast("int")))
         else:
             ranges = ranges.union(_hashed_ranges(large, size))
-    whole = run.where("copies > 1").select("m", "t", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
-    # a run that very many rows share is a hot key of the large side alone: the skew join deals it out
-    resolved = cut(whole.union(ranges), "resolved", held=held)
-    return emitted.join(resolved, ["m", "t"]).select("kid", "kth", (F.col("s") + F.col("first")).alias("a"), (F.col("s") + F.col("last") + size).alias("b"))
+    whole = run.where("copies > 1").select("m", "t", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"), "copies")
+    both = whole.union(ranges.withColumn("copies", F.lit(1))).groupBy("m", "t").agg(F.collect_list(F.struct("first", "last")).alias("ranges"), F.max("copies").alias("copies"))
+    # a run that very many rows share is joined by broadcast
+    resolved = cut(both, "resolved", held=held)
+    spans = hot_join(emitted.select("kid", "kth", "m", "t", "s"), resolved, ["m", "t"], "copies", emitted.count()).select("kid", "kth", "s", F.explode("ranges").alias("x"))
+    return spans.select("kid", "kth", (F.col("s") + F.col("x.first")).alias("a"), (F.col("s") + F.col("x.last") + size).alias("b"))
 
 
 def _span_lists(keyed: DataFrame, key: list[str], name: str, size: int, group: int, code: Callable = plain, levels: int = LEVELS) -> DataFrame:
