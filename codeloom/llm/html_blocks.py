@@ -12,6 +12,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 ZONES = frozenset("nav header footer aside form button menu dialog fieldset head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a piece of text rather than a part of the page.
+PIECES = HEADINGS | frozenset("p li td th tr tbody thead dt dd pre blockquote figcaption caption address summary legend".split())
 CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in class or id that name what is not the article, and what is.
 OTHER_NAMES = frozenset(
@@ -21,7 +23,7 @@ OTHER_NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("article articlebody content maincontent post postbody posting entry story storybody main text body prose".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,5000}"|'[^']{0,5000}')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|/[^a-zA-Z][^>]*+>)""", re.S)
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|/[^a-zA-Z][^>]*+>)""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -32,6 +34,7 @@ class Block(NamedTuple):
     other: bool  # inside a menu, footer, advert, form, comment ...
     main: int  # 3 inside an article, 2 inside main, 1 inside a container that is named so, 0 elsewhere
     links: int  # characters inside links
+    ids: tuple[int, ...]  # numbers of the elements around it, in the order of the path's parts
 
 
 class _Open(NamedTuple):
@@ -40,6 +43,7 @@ class _Open(NamedTuple):
     other: bool
     main: int
     quiet: bool  # a header inside an article: its headings alone count
+    number: int
 
 
 def _attributes(attrs: str) -> tuple[str, set[str], bool]:
@@ -63,7 +67,8 @@ def _attributes(attrs: str) -> tuple[str, set[str], bool]:
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order. Unclosed, stray and cut-off tags are borne; character references are decoded."""
     out: list[Block] = []
-    stack = [_Open("", "", False, 0, False)]
+    stack = [_Open("", "", False, 0, False, 0)]
+    opened = 0
     held: list[str] = []
     link_depth, link_chars = 0, 0
     at, end = 0, len(html)
@@ -76,7 +81,7 @@ def blocks(html: str) -> list[Block]:
             if text:
                 top = stack[-1]
                 quiet = any(x.quiet for x in stack) and top.name not in HEADINGS
-                out.append(Block(text, top.path, top.other or quiet, top.main, min(link_chars, len(text))))
+                out.append(Block(text, top.path, top.other or quiet, top.main, min(link_chars, len(text)), tuple([x.number for x in stack[1:]])))
         link_chars = 0
 
     while at < end:
@@ -119,8 +124,6 @@ def blocks(html: str) -> list[Block]:
                 flush()
             continue
         if name in INLINE or name in VOID:
-            if name == "span" and not closing and attrs:
-                pass
             continue
         flush()
         if closing:
@@ -145,6 +148,7 @@ def blocks(html: str) -> list[Block]:
         quiet = name == "header" and in_article
         other = top.other or hidden or bool(roles & OTHER_ROLES) or (name in ZONES and not quiet) or (name not in ("article", "main", "body", "html") and bool(words & OTHER_NAMES))
         main = 3 if name == "article" or "article" in roles else max(top.main, 2 if name == "main" or "main" in roles else 1 if words & MAIN_NAMES and name not in ("body", "html") else 0)
-        stack.append(_Open(name, f"{top.path}>{name}" + (f".{first}" if first else ""), other, main, quiet))
+        opened += 1
+        stack.append(_Open(name, f"{top.path}>{name}" + (f".{first.replace('>', '')}" if first else ""), other, main, quiet, opened))
     flush()
     return out

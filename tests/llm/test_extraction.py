@@ -64,3 +64,79 @@ def test_row_counts(spark):
 def test_paths():
     got = blocks("<div class='x y'><section><p>a</section></div>")
     assert [(b.path, b.text) for b in got] == [(">div.x>section>p", "a")]
+
+
+def neutral(html):
+    """The page with the names of its parts replaced by such that say nothing."""
+    for name, other in (("article", "section"), ("nav", "div class=q1"), ("footer", "div class=q2")):
+        html = html.replace(f"<{name}>", f"<{other}>").replace(f"</{name}>", f"</{other.split()[0]}>")
+    return html.replace('class="ad"', 'class="q3"')
+
+
+def test_template_decides_on_the_sample_pages_when_their_markup_names_nothing(spark):
+    """With the names gone, templates still find the articles; switched off, the markup alone takes more or less."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: r["text"] for r in ex.extract(pages, deduce=False).collect()}
+    rows = [(r["page_id"], r["url"], neutral(r["html"] or "")) for r in pages.collect()]
+    named = spark.createDataFrame(rows, PAGES)
+    with_templates = {r["page_id"]: r["text"] for r in ex.extract(named).collect()}
+    without = {r["page_id"]: r["text"] for r in ex.extract(named, deduce=False).collect()}
+    right = lambda got: sum(got[k] == want[k] for k in want) / len(want)
+    assert right(with_templates) > right(without) and right(with_templates) >= 0.9, (right(with_templates), right(without))
+
+
+def naive_main(htmls):
+    """The deepest element path, once on every page, around 0.6 of the text outside links and texts that all pages have."""
+    pages = [blocks(h) for h in htmls]
+    fixed = set.intersection(*[{(b.path, b.text) for b in p} for p in pages])
+    once, mass = None, {}
+    for p in pages:
+        count = {}
+        for b in p:
+            for path, number in zip(ex.parts(b.path), b.ids):
+                count.setdefault(path, set()).add(number)
+                if (b.path, b.text) not in fixed:
+                    mass[path] = mass.get(path, 0) + len(b.text) - b.links
+        alone = {k for k, v in count.items() if len(v) == 1}
+        once = alone if once is None else once & alone
+    full = [p for p in once if p[p.rfind(">") + 1 :].partition(".")[0] not in ex.PIECES and mass.get(p, 0) >= 0.6 * max(mass.get(q, 0) for q in once)]
+    return max(full, key=lambda p: p.count(">")), fixed
+
+
+def test_main_slot_equals_naive_deduction(spark):
+    r = random.Random(2)
+    word = lambda: r.choice(["river", "stone", "letter", "window"]) + str(r.randint(0, 999))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for site in range(8):
+        names = [f"k{site}{c}" for c in "abcde"]
+        order = r.sample(range(3), 3)
+        for k in range(12):
+            zones = [
+                f"<div class={names[0]}>" + "".join(f"<p><a href=x>{word()}</a></p>" for _ in range(r.randint(2, 6))) + "</div>",
+                f"<div class={names[1]}><div class={names[2]}>" + "".join(f"<p>{prose(20)}</p>" for _ in range(r.randint(2, 7))) + "</div></div>",
+                f"<div class={names[3]}><p>Fixed words of site {site}</p><div class={names[4]}>{prose(3)}</div></div>",
+            ]
+            rows.append((site * 100 + k, f"http://s{site}.site{site}/{k}", "<html><body>" + "".join(zones[z] for z in order) + "</body></html>"))
+    got = {x["page_id"]: x["text"] for x in ex.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for site in range(8):
+        own = [x for x in rows if x[0] // 100 == site]
+        main, fixed = naive_main([h for _, _, h in own])
+        for key, _, html in own:
+            assert got[key] == " ".join(b.text for b in blocks(html) if main in ex.parts(b.path) and (b.path, b.text) not in fixed)
+
+
+def test_small_hosts_share_the_template_of_their_domain(spark):
+    body = "<html><body><div class=a1><p>Welcome to the site of sites</p></div><div class=q8><p>{0}</p><p>{1}</p></div><div class=z9><p>All rights are kept by us</p></div></body></html>"
+    rows, want = host_pages(12, "x", body)
+    rows = [(k, f"http://s{k}.shared.example/{k}", h) for k, _, h in rows]
+    got = {x["page_id"]: x["text"] for x in ex.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[k] for k in range(12)] == want
+
+
+def test_marks_of_very_many_pages_do_not_overflow(spark):
+    big = spark.range(3).selectExpr("'h' as host", "1L as token", "0 as kind", f"{(1 << 63) - 1}L as mark")
+    from pyspark.sql import functions as F
+
+    got = big.groupBy("host").agg(F.bit_xor("mark").alias("v"), F.sum(F.col("mark").bitwiseAND(0xFFFFF)).alias("t")).first()
+    assert got["v"] == (1 << 63) - 1 and got["t"] * (1 << 41) < 1 << 63
