@@ -5,11 +5,14 @@ characters. Weights are learned per coordinate by follow-the-regularised-leader
 sparse), and a temperature, found on a part held out of the training sample, calibrates the probabilities. Scoring reads
 every whole text in Arrow batches.
 
-The model is fitted on a bounded sample: about PER_LANG rows a language, chosen by a hash of the document id.
+The model is fitted on a bounded sample: about PER_LANG rows a language, or SAMPLE_ROWS in all where there are very many languages
+(LEAST_PER_LANG at least), chosen by a hash of the document id. Every labelled language is learned. The sample's n-gram counts, at
+most DIMS a row, are made on the executors.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; rows with null language are not learned from;
-without any labelled row every text is `und`; equal texts get equal answers; ties go to the first language in order; an
-empty table gives an empty result; other columns are not read.
+without any labelled row every text is `und`; equal texts get equal answers; ties go to the first language in order; rows of the
+sample are put in order by their language and counts, so equal ones are interchangeable; texts of any length are read whole; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import arrow_rows, text_udf
 
 UND = "und"
-#: Rows of a language that the sample has on average at most, and languages that are learned at most.
-PER_LANG = 600
-MOST_LANGS = 400
+#: Rows of a language that the sample has on average at most, of all languages, and yet of a language.
+PER_LANG, SAMPLE_ROWS, LEAST_PER_LANG = 600, 60_000, 20
+#: Languages up to which their counts are broadcast.
+MOST_BROADCAST = 100_000
 DIMS = 1 << 15
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,9 +94,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs:
 def sample(docs: DataFrame, usable: Column, lang: str = "lang", per_lang: int = PER_LANG) -> DataFrame:
     """(text, lang) of about per_lang usable rows a language, or all where there are fewer."""
     labelled = docs.where(usable & F.col(lang).isNotNull()).select("doc_id", "text", F.col(lang).alias("lang"))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = counts.count()
+    most = float(min(per_lang, max(LEAST_PER_LANG, SAMPLE_ROWS // max(1, langs))))
     part = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.join(F.broadcast(counts), "lang").where(part < F.lit(float(per_lang)) / F.col("n")).select("text", "lang")
+    # one row a language
+    counts = F.broadcast(counts) if langs <= MOST_BROADCAST else counts
+    return labelled.join(counts, "lang").where(part < F.lit(most) / F.col("n")).select("text", "lang")
 
 
 def fit(docs: DataFrame, usable: Column, lang: str = "lang", per_lang: int = PER_LANG) -> dict | None:
@@ -111,10 +119,11 @@ def fit(docs: DataFrame, usable: Column, lang: str = "lang", per_lang: int = PER
     names = sorted(set(langs))
     if not names:
         return None
-    rows = [(np.asarray(d.values, dtype=np.int64), np.asarray(c.values, dtype=np.int64), names.index(y)) for d, c, y in zip(got.column("dims"), got.column("counts"), langs) if len(d.values)]
+    number = {y: k for k, y in enumerate(names)}
+    rows = [(np.asarray(d.values, dtype=np.int64), np.asarray(c.values, dtype=np.int64), number[y]) for d, c, y in zip(got.column("dims"), got.column("counts"), langs) if len(d.values)]
     if not rows:
         return None
-    rows.sort(key=lambda r: (r[2], len(r[0]), int(r[0].sum()), int(r[1].sum())))
+    rows.sort(key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes()))  # a total order: rows equal in it are interchangeable
     return train(rows, len(names)) | {"names": names}
 
 

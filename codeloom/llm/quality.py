@@ -1,12 +1,12 @@
 """Quality rules: base rules, then logistic regression on hashed word and character n-grams.
 
 Words, word pairs and character triples of the text as it stands are hashed to DIMS dimensions. The regression is fitted on a
-bounded sample of labelled rows (PER_CLASS a label), its scores are calibrated to probabilities on rows held out of the fit,
+bounded sample of labelled rows (PER_CLASS a label, at most DIMS features each), its scores are calibrated to probabilities on rows held out of the fit,
 and whole texts are scored in Arrow batches against fixed thresholds.
 
 Defined cases: null texts have no words and fail the base rules; a text of any length is read whole; without labels of both
-classes the base rules alone decide; equal texts get equal answers; an empty table gives an empty result; other columns are
-not read.
+classes the base rules alone decide; equal texts get equal answers; rows of the sample are put in order by their label and features,
+so equal ones are interchangeable; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict
     if not sizes.get(0) or not sizes.get(1):
         return None
     got = arrow_rows(rows, ["text", "label"], "label int, dims array<int>, values array<float>", each).toArrow()
-    made = sorted(((np.asarray(d.values, dtype=np.int64), np.asarray(v.values, dtype=np.float64), y) for d, v, y in zip(got.column("dims"), got.column("values"), got.column("label").to_pylist())), key=lambda r: (r[2], len(r[0]), int(r[0].sum())))
+    made = sorted(((np.asarray(d.values, dtype=np.int64), np.asarray(v.values, dtype=np.float64), y) for d, v, y in zip(got.column("dims"), got.column("values"), got.column("label").to_pylist())), key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes()))  # a total order
     order = np.random.default_rng(11).permutation(len(made))
     fold = lambda keep: [made[k] for n, k in enumerate(order) if keep(n)]
     train, held = fold(lambda n: n % 4), fold(lambda n: not n % 4)

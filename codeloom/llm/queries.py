@@ -56,17 +56,19 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hashlib import sha256
 
     def each(batch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
+        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "text")}
         for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
             data = (text.as_py() or "").encode()
             out["n_bytes"].append(len(data))
             out["n_removed"].append(sum(s["end"] - s["start"] for s in spans))
             out["n_spans"].append(len(spans))
-            out["kept_sha256"].append(sha256(suffix_dedup.kept(data, spans)).hexdigest())
+            left = suffix_dedup.kept(data, spans)
+            out["kept_sha256"].append(sha256(left).hexdigest())
+            out["text"].append(left.decode("utf-8", "ignore"))  # without what is left of cut characters
         return {"doc_id": batch.column(0)} | out
 
     spans = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
-    return arrow_rows(spans, ["doc_id", "text", "spans"], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", each)
+    return arrow_rows(spans, ["doc_id", "text", "spans"], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string", each)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, then scores of the hits' context windows.
 
 The lexicon is mined from labelled rows: words and word beginnings (stems, which stand for their inflected forms) that occur
-mostly in toxic rows, each with its log-odds. Those that occur almost only there are held as a trie. The Levenshtein automata of all terms run on the trie at once: a state is the
-set of (node, edits so far) that a word's letters can have reached, states are made when first met and kept, so most words end
-in the dead state after a few steps. Stems are matched exactly, words with one edit from FUZZY_1 letters on and two from
+mostly in toxic rows, each with its log-odds, held as tries. The Levenshtein automata of all terms that occur almost only there
+run on their trie at once: a state is the set of (node, edits so far) that a word's letters can have reached, states are made when
+first met and kept, so most words end in the dead state after a few steps. Stems are matched exactly, words with one edit from FUZZY_1 letters on and two from
 FUZZY_2 on.
 
 Every hit is then judged in a window of CONTEXT words: quotation marks around it or words of reporting set quotation apart from
@@ -46,6 +46,7 @@ class Trie:
         self.next: list[dict[str, int]] = [{}]
         self.ends: dict[int, int] = {}
         self.stems: set[int] = set()
+        self.odds: dict[int, float] = {}
         for w in words:
             self.ends[self._add(w)] = 0 if len(w) < FUZZY_1 else 1 if len(w) < FUZZY_2 else 2
         for w in stems:
@@ -66,6 +67,26 @@ class Trie:
         return at
 
 
+def graded(words: dict[str, float], stems: dict[str, float]) -> tuple[Trie, Trie]:
+    """The lexicon's words and stems as tries whose ends have the log-odds."""
+    out = Trie(list(words), []), Trie([], list(stems))
+    for trie, terms in zip(out, (words, stems)):
+        for t, odds in terms.items():
+            trie.odds[trie._add(t)] = odds
+    return out
+
+
+def walk(trie: Trie, word: str) -> tuple[float | None, float | None]:
+    """Log-odds of the whole word, and of the longest term of the trie that begins it; None where there is none."""
+    at, longest = 0, None
+    for c in word:
+        at = trie.next[at].get(c, -1)
+        if at < 0:
+            return None, longest
+        longest = trie.odds.get(at, longest)
+    return trie.odds.get(at), longest
+
+
 class Automaton:
     """The union of the terms' Levenshtein automata, intersected with their trie and made deterministic as it is used."""
 
@@ -144,16 +165,13 @@ class Hits(dict):
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], pure: tuple[list[str], list[str]]):
         super().__init__()
-        self.words, self.stems = words, stems
+        self.graded = graded(words, stems)
         self.automaton = Automaton(Trie(*pure))
 
     def odds(self, word: str) -> float:
-        if word in self.words:
-            return self.words[word]
-        for n in range(min(STEM_TO, len(word)), STEM_FROM - 1, -1):
-            if word[:n] in self.stems:
-                return self.stems[word[:n]]
-        return 0.0
+        own, _ = walk(self.graded[0], word)
+        _, stem = walk(self.graded[1], word)
+        return own if own is not None else stem or 0.0
 
     def __missing__(self, raw: str):
         if len(self) >= self.MOST:
@@ -212,7 +230,7 @@ def mine(rows: DataFrame, least: int = LEAST_ROWS) -> dict:
         for t, y in zip(batch.column(0), batch.column(1).to_pylist()):
             words = {bare(w) for w in (t.as_py() or "").lower().split()}
             words = {w for w in words if len(w) >= 3 and any(c.isalpha() for c in w)}
-            terms = {"w" + w for w in words if len(w) <= 40} | {"s" + w[:n] for w in words for n in range(STEM_FROM, min(STEM_TO, len(w)) + 1)}
+            terms = {"w" + w for w in words} | {"s" + w[:n] for w in words for n in range(STEM_FROM, min(STEM_TO, len(w)) + 1)}
             out["term"] += terms
             out["label"] += [y] * len(terms)
         return out

@@ -42,3 +42,46 @@ def test_judging(spark):
     alone = {x["doc_id"]: x["kept"] for x in q.judge(docs, None).collect()}
     assert alone[504] and not alone[501]
     assert q.judge(spark.createDataFrame([], DOCS), None).count() == 0
+
+
+def test_features_equal_brute_force():
+    import math
+    import zlib
+
+    mod = 1 << 64
+    for text in ("one two  two\nthree", "a", "", "é ü é ü é", "x" * 50):
+        words = q.WORD.findall(text)
+        h = [zlib.crc32(w.encode()) for w in words]
+        keys = [x + (1 << 40) for x in h] + [(a * 0x100000001B3 + b) % mod for a, b in zip(h, h[1:])]
+        keys += [((ord(a) << 42) + (ord(b) << 21) + ord(c) + (1 << 63)) % mod for a, b, c in zip(text, text[1:], text[2:])]
+        counts = {}
+        for k in keys:
+            d = (k * 0x9E3779B97F4A7C15 % mod) >> (64 - q.BITS)
+            counts[d] = counts.get(d, 0) + 1
+        want = {d: 1 + math.log(n) for d, n in counts.items()}
+        length = math.sqrt(sum(v * v for v in want.values())) or 1
+        dims, values = q.features(text, words, q.WordIds())
+        assert dims.tolist() == sorted(want) and all(abs(v - want[d] / length) < 1e-9 for d, v in zip(dims.tolist(), values))
+
+
+def test_the_fit_equals_a_plain_one_and_is_calibrated():
+    import numpy as np
+
+    from codeloom.llm import linear
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [1.5, -2, 0.5] + 0.3)))).astype(float)
+    w = linear.logistic(x, y, l2=1.0)
+    plain = np.zeros(4)
+    wide = np.column_stack([x, np.ones(400)])
+    for _ in range(20_000):  # gradient descent on the same loss
+        plain -= 0.002 * (wide.T @ (1 / (1 + np.exp(-wide @ plain)) - y) + np.array([1, 1, 1, 1e-6]) * plain)
+    assert np.abs(w - plain).max() < 1e-3
+    slope, offset = linear.platt(x @ [3.0, -4.0, 1.0], y)
+    assert abs((1 / (1 + np.exp(-(slope * (x @ [3.0, -4.0, 1.0]) + offset)))).mean() - y.mean()) < 0.01
+
+
+def test_very_long_texts_are_read_whole():
+    words, chars, symbols, dup, _ = q.base("word # \n" * 100_000)
+    assert (len(words), chars, symbols, dup) == (200_000, 500_000, 100_000, 99_999)

@@ -65,3 +65,20 @@ def test_rare_pure_terms_stay_beside_many_frequent_ones(spark):
     rows = [(" ".join(common) + (" vermin" if k < 4 else ""), 1) for k in range(6)] + [(" ".join(common), 0)] * 3
     lexicon = tx.mine(spark.createDataFrame(rows, "text string, label int"))
     assert "vermin" in lexicon["words"] and "vermin" in lexicon["pure"][0] and len(lexicon["words"]) == 6201
+
+
+def test_graded_tries_equal_lookups():
+    r = random.Random(5)
+    draw = lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 9)))
+    words, stems = {draw(): r.random() for _ in range(40)}, {draw(): r.random() for _ in range(20)}
+    hits = tx.Hits(words, stems, ([], []))
+    for _ in range(2000):
+        w = draw()
+        begin = max((s for s in stems if w.startswith(s)), key=len, default=None)
+        assert hits.odds(w) == (words[w] if w in words else stems[begin] if begin else 0.0)
+
+
+def test_very_long_texts_and_words_are_read_whole(spark):
+    lexicon = {"words": {"dimwit": 3.0}, "stems": {}, "pure": (["dimwit"], [])}
+    hits = tx.Hits(**lexicon)
+    assert tx.features("river " * 200_000 + "dimwlt", hits)[1] > 0 and tx.features("x" * 500_000, hits) == [0.0] * tx.FEATURES

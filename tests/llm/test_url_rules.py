@@ -50,3 +50,15 @@ def test_mined_rules_equal_brute_force(spark):
 def test_without_labels_nothing_is_mined(spark):
     urls = spark.createDataFrame([(1, "http://a.b/c")], "id long, url string")
     assert ur.mine(urls, spark.createDataFrame([], "id long, bad boolean")) == []
+
+
+def test_labels_without_a_signal_give_no_rules(spark):
+    rows = [(k, f"http://h{k % 37}.site{k % 11}.example.org/p{chr(97 + k % 5)}/{k}?a=1") for k in range(900)]
+    urls = spark.createDataFrame(rows, "id long, url string")
+    bad = urls.select("id", (F.pmod(F.xxhash64("id"), F.lit(6)) == 0).alias("bad"))
+    assert ur.mine(urls, bad) == []
+    assert ur.mine(urls, urls.select("id", F.lit(False).alias("bad"))) == [] == ur.mine(urls, urls.select("id", F.lit(True).alias("bad")))
+
+
+def test_lower_limit_of_wilson():
+    assert ur.lower_limit(0, 0) == 0 and abs(ur.lower_limit(8, 10, 1.96) - 0.4902) < 1e-3 and ur.lower_limit(5, 5) < 0.4
