@@ -2,6 +2,10 @@
 
 Each stage gets the rows that its predecessor kept, written as Parquet and read again, and returns rows with the columns of
 `documents`; the last returns the pieces of packed sequences.
+
+For all stages: other columns than doc_id, text, lang and n_chars are carried along whatever their names; an empty table gives an
+empty result; texts of any length are read whole; equal rows are told apart by nothing but their place, so they go or stay together,
+but for the near duplicates, of which one row stays.
 """
 
 from __future__ import annotations
@@ -22,28 +26,43 @@ LEAST_LANGUAGE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or with no language that is likely enough."""
+    """Drops documents without a letter or with no language that is likely enough.
+
+    Null and empty texts have no letter and go. Rows with a null lang are judged, not learned from. Ties between languages go to the
+    first in order, which changes no decision here. Without any lang every document goes, as no language is known."""
     return compact(language.identified(docs, language.fit(docs, F.lit(True)), LEAST_LANGUAGE), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that with the least id."""
+    """Keeps one document of each group of near duplicates, that with the least id (null ids first; on a tie the least text hash,
+    then any one of the equal rows).
+
+    Texts are near duplicates from SIMILARITY of their SHINGLE_WORDS-word shingles, and so are those that a chain of such pairs
+    connects. Null and empty texts are duplicates of each other; a text of fewer words is one shingle."""
     return near_copies.representatives(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of over 50 words and byte strings of op6's size that come more than once; documents of which nothing is
-    left go."""
+    """Removes passages of over 50 words and byte strings of op6's size that come more than once, at every place; documents of
+    which nothing is left go.
+
+    Null, empty and shorter texts keep all and stay. n_chars is counted anew where a text changes (a null one too), and a table
+    without that column stays without. Equal rows repeat each other and so both lose what is long enough."""
     return suffix_dedup.without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
+    """Drops documents that hold an item of the benchmark.
+
+    Null and empty texts hold none and stay; null and empty items are in none. Ties between items change no decision."""
     return compact(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
+    """Packs what is left into sequences; only doc_id and text are read.
+
+    Null and empty texts are the one closing id. Pieces of one length are placed in an order of their own that only decides which
+    of equal places each gets."""
     return packing.pack(docs, tokenizer_path())
 
 
