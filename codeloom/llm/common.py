@@ -14,7 +14,7 @@ from codeloom.runtime import ship
 
 #: Rows of text that one Arrow batch carries at most; long texts make a batch end earlier.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -54,7 +54,7 @@ class Lexicon:
     and whether it ends a sentence. Row 0 is for words without letters or digits; -k - 1 stands for the rows `pairs[k]` of a
     number and its unit in one word. Words met last are kept."""
 
-    MOST = 500_000
+    MOST = 300_000
 
     def __init__(self):
         self._restart()

@@ -31,6 +31,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bits in which linked fingerprints of the trie differ at most.
 BUDGET = 3
 BANDS, ROWS = 20, 5
+#: By how much the share of equal min-hashes may fall short of the similarity.
+MARGIN = 0.2
 #: Shingles whose min-hashes are taken at a time.
 CHUNK = 2048
 _DRAW = np.random.default_rng(SEED)
@@ -47,11 +49,15 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
     return np.unique(hashes.astype(np.uint64)) if len(hashes) else np.zeros(1, dtype=np.uint64)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """The fingerprints, told apart by their band."""
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for k in range(0, len(hashes), CHUNK):
         np.minimum(least, (np.multiply.outer(_FACTORS, hashes[k : k + CHUNK]) + _SHIFTS[:, None]).min(axis=1), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """The fingerprints of a text's min-hashes, told apart by their band."""
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
@@ -67,7 +73,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _sketches(keyed: DataFrame, key: list[str], words: int) -> DataFrame:
-    """(kid, kth, cls, fp, bands) of every row."""
+    """(kid, kth, cls, fp, bands, low) of every row; low: 16 bits of each min-hash."""
 
     def each(batch) -> dict:
         from xxhash import xxh64_intdigest
@@ -76,9 +82,10 @@ def _sketches(keyed: DataFrame, key: list[str], words: int) -> DataFrame:
         sets = [distinct(h) for h in raw]
         signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
         cls, fp = signed([xxh64_intdigest(s.tobytes(), SEED) for s in sets]), signed([simhash.majority(h) for h in raw])
-        return {"kid": batch.column(0), "kth": batch.column(1), "cls": cls, "fp": fp, "bands": [bands(s) for s in sets]}
+        least = [min_hashes(s) for s in sets]
+        return {"kid": batch.column(0), "kth": batch.column(1), "cls": cls, "fp": fp, "bands": [bands(x) for x in least], "low": [x.astype(np.uint16).tobytes() for x in least]}
 
-    return arrow_rows(keyed, [*key, "text"], "kid long, kth long, cls long, fp long, bands array<long>", each)
+    return arrow_rows(keyed, [*key, "text"], "kid long, kth long, cls long, fp long, bands array<long>, low binary", each)
 
 
 def _trie_pairs(classes: DataFrame) -> DataFrame:
@@ -90,8 +97,22 @@ def _trie_pairs(classes: DataFrame) -> DataFrame:
     return same.union(near.join(x, "a").join(y, "b").select("a_first", "b_first"))
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose min-hashes agree often enough: a pair of `similarity` agrees in that share of them, give or take
+    0.04 at 0.8, and one that agrees MARGIN less often (five times that) is not looked at in full."""
+    x, y = (classes.select(F.col("cls").alias(n), F.col("low").alias(f"{n}_low")) for n in ("a", "b"))
+
+    def each(batch) -> dict:
+        get = lambda v: np.frombuffer(v.as_py(), dtype=np.uint16)
+        near = np.array([np.count_nonzero(get(p) == get(q)) >= (similarity - MARGIN) * BANDS * ROWS for p, q in zip(batch.column(2), batch.column(3))], dtype=bool)
+        return {"a": batch.column(0).to_numpy()[near], "b": batch.column(1).to_numpy()[near]}
+
+    return cut(arrow_rows(pairs.join(x, "a").join(y, "b"), ["a", "b", "a_low", "b_low"], "a long, b long", each), "possible")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar."""
+    pairs = _possible(pairs, classes, similarity)
     need = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     texts = keyed.join(need.join(classes, "cls").select("cls", "key.*"), ["kid", "kth"])
 
@@ -110,7 +131,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, words: int
 
 
 def links(classes: DataFrame, keyed: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between classes (cls, key, fp, bands), connecting what similar pairs among the candidates connect. keyed: (kid,
+    """Edges (a, b) between classes (cls, key, fp, bands, low), connecting what similar pairs among the candidates connect. keyed: (kid,
     kth, text) of every row."""
     under = classes.select("cls", F.explode("bands").alias("bucket"))
     size = under.groupBy("bucket").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -134,7 +155,7 @@ def representatives(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     keyed, key = with_key(docs)
     rows = keyed.select(F.col(key[0]).alias("kid"), F.col(key[1]).alias("kth"), "text")
     own = cut(_sketches(keyed, key, words), "sketches", docs)
-    classes = cut(own.groupBy("cls").agg(F.min(F.struct("kid", "kth")).alias("key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+    classes = cut(own.groupBy("cls").agg(F.min(F.struct("kid", "kth")).alias("key"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
     found = components(links(classes, rows, words, similarity))
     labelled = classes.join(found, classes["cls"] == found["node"], "left").select("key", F.coalesce("component", "cls").alias("label"))
     chosen = labelled.groupBy("label").agg(F.min("key").alias("least")).select(F.col("least.kid").alias(key[0]), F.col("least.kth").alias(key[1]))

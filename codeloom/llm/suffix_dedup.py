@@ -45,7 +45,7 @@ GROUP, SUFFIXES = 2048, 50_000
 #: Orders of the anchors, and parts that a minimizer's runs are joined in.
 LEVELS, SALTS = 4, 8
 #: Bytes that stand for a word where passages are counted in words, and words whose bytes are held in memory.
-CODE, MOST_CODES = 4, 500_000
+CODE, MOST_CODES = 4, 100_000
 #: Characters of scripts without spaces: South-East Asian, Japanese, Chinese.
 _ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 ALONE, UNIT = re.compile(f"[{_ALONE}]"), re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")

@@ -54,7 +54,7 @@ def test_fingerprints_reach_pairs_of_0_8():
         other = list(text)
         for k in range(5):  # 25 of 221 shingles change: similarity 0.797
             other[20 + 40 * k] = "x"
-        hit += bool(set(nc.bands(nc.shingles(" ".join(text)))) & set(nc.bands(nc.shingles(" ".join(other)))))
+        hit += bool(set(nc.bands(nc.min_hashes(nc.shingles(" ".join(text))))) & set(nc.bands(nc.min_hashes(nc.shingles(" ".join(other))))))
     assert hit >= 297
 
 
