@@ -284,6 +284,13 @@ def _hashed_ranges(contents: DataFrame, size: int) -> DataFrame:
     return hit.select("m", "t", F.col("o").alias("first"), F.col("o").alias("last"))
 
 
+#: Closed ranges of integers in an array `ranges`, united.
+_UNION = """aggregate(array_sort(ranges), cast(array() AS array<struct<first:bigint,last:bigint>>), (done, x) ->
+  CASE WHEN x.first <= try_element_at(done, -1).last + 1
+  THEN concat(slice(done, 1, size(done) - 1), array(named_struct('first', try_element_at(done, -1).first, 'last', greatest(try_element_at(done, -1).last, x.last))))
+  ELSE concat(done, array(named_struct('first', cast(x.first AS bigint), 'last', cast(x.last AS bigint)))) END)"""
+
+
 def _repeats(rows: DataFrame, size: int, group: int, code: Callable, held: list[str], level: int = 0, last: int = LEVELS) -> DataFrame:
     """(kid, kth, a, b): ranges [a, b) of bytes to remove from rows (kid, kth, text), in any order and overlapping. held: gets
     the paths of the tables that the result reads."""
@@ -306,10 +313,11 @@ def _repeats(rows: DataFrame, size: int, group: int, code: Callable, held: list[
             ranges = ranges.union(again.select("kid", "kth", "a", (F.col("b") - size).cast("int")))
         else:
             ranges = ranges.union(_hashed_ranges(large, size))
-    whole = run.where("copies > 1").select("m", "t", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"), "copies")
+    whole = run.where("copies > 1").select("m", "t", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).cast("long").alias("last"), "copies")
     both = whole.union(ranges.withColumn("copies", F.lit(1))).groupBy("m", "t").agg(F.collect_list(F.struct("first", "last")).alias("ranges"), F.max("copies").alias("copies"))
-    # a run that very many rows share is joined by broadcast
-    resolved = cut(both, "resolved", held=held)
+    # ranges that touch are one, so a run brings few however many other runs it meets; one that very many rows share is joined by
+    # broadcast
+    resolved = cut(both.withColumn("ranges", F.expr(_UNION)), "resolved", held=held)
     spans = hot_join(emitted.select("kid", "kth", "m", "t", "s"), resolved, ["m", "t"], "copies", emitted.count()).select("kid", "kth", "s", F.explode("ranges").alias("x"))
     return spans.select("kid", "kth", (F.col("s") + F.col("x.first")).alias("a"), (F.col("s") + F.col("x.last") + size).alias("b"))
 
