@@ -41,6 +41,7 @@ LITERALS, CONSISTENT = 2, 0.8
 BLOCK = 1_000_000
 
 NUMBER, NAME, UNIT = 1, 2, 3
+UPPER, ENDS = 4, 8
 NUMERIC = re.compile(r"[+-]?\d[\d.,:/%-]*")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million half twice".split())
 UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles g kg mg gram grams ton tons pound pounds ounce ounces l ml liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees mph kmh watt watts volt volts".split())
@@ -50,8 +51,8 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lexicon:
-    """Raw word -> row of `values` and `traits`: the hash of the bare lower-case word, its kind, whether it is capitalised
-    and whether it ends a sentence. Row 0 is for words without letters or digits; -k - 1 stands for the rows `pairs[k]` of a
+    """Raw word -> row of `values` and `traits`: the hash of the bare lower-case word, and its kind plus UPPER if it is capitalised
+    plus ENDS if it ends a sentence. Row 0 is for words without letters or digits; -k - 1 stands for the rows `pairs[k]` of a
     number and its unit in one word. Words met last are kept."""
 
     MOST = 300_000
@@ -62,16 +63,15 @@ class Lexicon:
     def _restart(self) -> None:
         self.known: dict[str, int] = {}
         self.pairs: list[tuple[int, int]] = []
-        self.values, self.traits = np.zeros(1024, dtype=np.uint64), np.zeros((1024, 3), dtype=np.int8)
+        self.values, self.traits = np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=np.int8)
         self.n = 1
 
     def _add(self, raw: str) -> int:
         a, b = 0, len(raw)
-        if not raw.isalnum():
-            while a < b and not raw[a].isalnum():
-                a += 1
-            while b > a and not raw[b - 1].isalnum():
-                b -= 1
+        while a < b and not raw[a].isalnum():
+            a += 1
+        while b > a and not raw[b - 1].isalnum():
+            b -= 1
         bare = raw[a:b]
         if not bare:
             self.known[raw] = 0
@@ -86,7 +86,7 @@ class Lexicon:
         if self.n == len(self.values):
             self.values, self.traits = np.concatenate((self.values, np.zeros_like(self.values))), np.concatenate((self.traits, np.zeros_like(self.traits)))
         self.values[self.n] = xxh64_intdigest(data) & 0x7FFFFFFFFFFFFFFF | 16
-        self.traits[self.n] = kind, bare[0].isupper() and bare[1:].islower(), raw[-1] in ".!?:;\"”»"
+        self.traits[self.n] = kind + (UPPER if bare[0].isupper() and bare[1:].islower() else 0) + (ENDS if raw[-1] in ".!?:;\"”»" else 0)
         self.known[raw] = self.n
         self.n += 1
         return self.n - 1
@@ -110,17 +110,17 @@ def canonical(text: str, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.n
     """Template tokens (a placeholder's number or a word's hash), beside them each token's own value, and the tokens with
     capitalised words at the start of a sentence read as names too."""
     rows = lexicon.rows(text.split())
-    value, (kind, upper, ends) = lexicon.values[rows], lexicon.traits[rows].T
+    value, traits = lexicon.values[rows], lexicon.traits[rows]
     if not len(rows):
         return value, value, value
-    inside = np.r_[False, ends[:-1] == 0]
-    after_number = np.r_[False, kind[:-1] == NUMBER]
-    token = value.copy()
-    token[(kind == 0) & (upper == 1) & inside] = NAME
+    kind, token = traits & 3, value.copy()
     token[kind == NUMBER] = NUMBER
-    token[(kind == UNIT) & after_number] = UNIT
+    units = np.flatnonzero(kind == UNIT)
+    token[units[(units > 0) & (kind[units - 1] == NUMBER)]] = UNIT
+    names = np.flatnonzero((traits & (UPPER | 3)) == UPPER)
     other = token.copy()
-    other[(kind == 0) & (upper == 1)] = NAME
+    other[names] = NAME
+    token[names[(names > 0) & (traits[names - 1] & ENDS == 0)]] = NAME
     return token, value, other
 
 
