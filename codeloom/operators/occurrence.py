@@ -111,6 +111,16 @@ def frequent_triples(occ: DataFrame, min_support: int = 2, most: int = 20_000) -
     return counted.crossJoin(F.broadcast(n)).select("code_a", "code_b", "code_c", "support", share.alias("share"), (share / chance).alias("lift"))
 
 
+def all_frequent_triples(occ: DataFrame, min_support: int = 2) -> DataFrame:
+    """(code_a, code_b, code_c, support) of every triple in at least min_support responses, none left out. Only pairs that are
+    frequent themselves are carried to the third code; the work grows with the triples of a response."""
+    pairs = frequent_pairs(occ, min_support).select("code_a", "code_b")
+    has = lambda c: occ.select("response_id", F.col("code").alias(c))
+    two = has("code_a").join(has("code_b"), "response_id").where("code_a < code_b").join(pairs, ["code_a", "code_b"], "left_semi")
+    three = two.join(has("code_c"), "response_id").where("code_b < code_c")
+    return three.groupBy("code_a", "code_b", "code_c").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
+
+
 def signatures(occ: DataFrame) -> DataFrame:
     """(response_id, signature): the sorted families that a response touches."""
     return family_occurrence(occ).groupBy("response_id").agg(F.array_join(F.array_sort(F.collect_list("code")), "|").alias("signature"))

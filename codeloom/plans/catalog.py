@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions import names, providers, texts, udfs
+from codeloom.functions import kernels, names, providers, texts, udfs
 from codeloom.operators import agreement, checks, clustering, codebook, eventlog, growth, lexical, occurrence, organise, segments, similarity, withheld
 from codeloom.plans import loop, timeline, validation
 from codeloom.sources import tables as t
@@ -320,11 +320,12 @@ SELECT 'ERROR' AS severity, 'duplicate_name' AS marker, min(name) AS subject FRO
 UNION ALL SELECT 'ERROR', 'orphan_parent', name FROM c WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT code_id FROM c)
 UNION ALL SELECT 'INFO', 'evidence_on_parent', name FROM c WHERE code_id IN (SELECT parent_id FROM c WHERE parent_id IS NOT NULL) AND code_id IN (SELECT code_id FROM e)
 UNION ALL SELECT 'WARN', 'missing_description', name FROM c WHERE trim(coalesce(description, '')) = ''
-UNION ALL SELECT 'ERROR', 'evidence_response_missing', name FROM c WHERE code_id IN (SELECT code_id FROM e WHERE response_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'))
+UNION ALL SELECT 'ERROR', 'evidence_response_missing', name FROM c WHERE code_id IN (SELECT code_id FROM e WHERE response_id NOT IN (SELECT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END FROM orders))
 UNION ALL SELECT 'WARN', 'name_grammar', name FROM c WHERE code_id NOT IN (SELECT parent_id FROM c WHERE parent_id IS NOT NULL) AND (regexp_matches(name, '\\s') OR NOT regexp_full_match(name, '[a-z0-9]+([_-][a-z0-9]+)*')))
 SELECT 'S6' AS check_id, severity, marker, subject FROM f""")
 def codebook_checks(spark, d):
-    ids = t.table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("response_id"))
+    # pending orders have an id that no evidence names
+    ids = t.table(spark, d, "orders").select(F.expr("CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END").alias("response_id"))
     found = codebook.check_codebook(t.codebook(spark, d), t.evidence(spark, d), ids)
     return found.select("check_id", "severity", F.get_json_object("data", "$.marker").alias("marker"), "subject")
 
@@ -346,26 +347,25 @@ def codebook_health(spark, d):
     return x.select("n_codes", "n_families", "n_leaves", "n_parents", "n_orphans", "leaf_ratio", "orphan_ratio", "largest_family_share")
 
 
-DIFF = "v AS (SELECT DISTINCT p_brand AS name FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'A' AND p_size < 3), w AS (SELECT DISTINCT p_brand AS name FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND p_size < 3)"
+DIFF = "v AS (SELECT DISTINCT p_brand || '-' || CAST(p_size % 7 AS VARCHAR) AS name FROM part), w AS (SELECT DISTINCT p_brand || '-' || CAST(p_size % 5 * 2 AS VARCHAR) AS name FROM part)"
 
 
 @query(f"WITH {DIFF} SELECT name, 'added' AS change FROM w WHERE name NOT IN (SELECT name FROM v) UNION ALL SELECT name, 'removed' FROM v WHERE name NOT IN (SELECT name FROM w)")
 def snapshot_diff(spark, d):
-    x = t.table(spark, d, "lineitem").join(t.table(spark, d, "part").where("p_size < 3"), F.col("l_partkey") == F.col("p_partkey"))
-    side = lambda flag: x.where(F.col("l_returnflag") == flag).select(F.col("p_brand").alias("name"))
-    return codebook.snapshot_diff(side("A"), side("R"))
+    side = lambda number: t.table(spark, d, "part").select(F.concat("p_brand", F.lit("-"), number.cast("string")).alias("name"))
+    return codebook.snapshot_diff(side(F.col("p_size") % 7), side(F.col("p_size") % 5 * 2))
 
 
-@query("WITH a AS (SELECT l_orderkey AS response_id, l_shipmode AS quote, count(*) AS n FROM (SELECT l_orderkey, l_linestatus AS l_shipmode FROM lineitem WHERE l_returnflag = 'A') GROUP BY 1, 2), b AS (SELECT l_orderkey AS response_id, l_linestatus AS quote, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) SELECT coalesce(a.response_id, b.response_id) AS response_id, coalesce(a.quote, b.quote) AS quote, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after, CASE WHEN a.n IS NULL THEN 'invented' WHEN coalesce(b.n, 0) < a.n THEN 'lost' ELSE 'multiplied' END AS problem FROM a FULL JOIN b ON a.response_id = b.response_id AND a.quote = b.quote WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)")
+@query("WITH a AS (SELECT l_orderkey AS response_id, l_shipmode AS quote, count(*) AS n FROM (SELECT l_orderkey, l_linestatus AS l_shipmode FROM lineitem) GROUP BY 1, 2), b AS (SELECT l_orderkey AS response_id, CASE WHEN l_returnflag = 'R' THEN 'moved' ELSE l_linestatus END AS quote, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT coalesce(a.response_id, b.response_id) AS response_id, coalesce(a.quote, b.quote) AS quote, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after, CASE WHEN a.n IS NULL THEN 'invented' WHEN coalesce(b.n, 0) < a.n THEN 'lost' ELSE 'multiplied' END AS problem FROM a FULL JOIN b ON a.response_id = b.response_id AND a.quote = b.quote WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)")
 def evidence_conserved(spark, d):
-    x = t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("response_id"), F.col("l_linestatus").alias("quote"), "l_returnflag")
-    return codebook.evidence_conserved(x.where("l_returnflag = 'A'"), x.where("l_returnflag = 'R'"))
+    side = lambda quote: t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("response_id"), quote.alias("quote"))
+    return codebook.evidence_conserved(side(F.col("l_linestatus")), side(F.when(F.col("l_returnflag") == "R", "moved").otherwise(F.col("l_linestatus"))))
 
 
-@query("SELECT DISTINCT l_orderkey AS response_id, l_linenumber * 10 AS start, l_linenumber * 10 + CAST(l_quantity AS INTEGER) AS \"end\", 'line ' || l_linenumber AS quote FROM lineitem WHERE l_returnflag IN ('A', 'R')")
+@query("SELECT DISTINCT l_orderkey AS response_id, l_linenumber * 10 AS start, l_linenumber * 10 + CAST(l_quantity AS INTEGER) AS \"end\", 'line ' || l_linenumber AS quote FROM lineitem")
 def merge_evidence(spark, d):
     side = lambda flag: t.spans(spark, d, flag).select("response_id", "start", "end", F.col("segment").alias("quote"))
-    return codebook.merge_evidence(side("A"), side("R"), side("A"))
+    return codebook.merge_evidence(side("A"), side("R"), side("N"))
 
 
 # ---- names, ids, texts ----------------------------------------------------------------------------------------
@@ -622,11 +622,11 @@ def near_duplicate_leaves(spark, d):
     return _rounded(similarity.near_duplicate_leaves(e, 0.4), "score")
 
 
-@query(f"WITH s AS (SELECT a.vec_id AS q, b.vec_id AS o, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, CAST(o AS VARCHAR)) AS k FROM s) SELECT CAST(q AS VARCHAR) AS name, CASE WHEN score > 0 THEN CAST(o AS VARCHAR) END AS nearest, round(greatest(0, score), 6) AS score FROM r WHERE k = 1")
+@query(f"WITH s AS (SELECT a.vec_id AS q, b.vec_id AS o, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, CAST(o AS VARCHAR)) AS k FROM s) SELECT CAST(q AS VARCHAR) AS name, CASE WHEN score > 0 THEN CAST(o AS VARCHAR) END AS nearest, round(greatest(0, score), 6) AS score FROM r WHERE k = 1")
 def nearest_vocabulary(spark, d):
-    """A search: its queries are the vectors whose id is divisible by 100, against all others."""
+    """A search: its queries are the vectors whose id is divisible by 100, against all rows but the query's own."""
     e = t.table(spark, d, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("name"), F.col("embedding").alias("vector"))
-    return _rounded(similarity.nearest(e.where("vec_id % 100 = 0"), e.where("vec_id % 100 <> 0")), "score")
+    return _rounded(similarity.nearest(e.where("vec_id % 100 = 0"), e, itself=False), "score")
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings")
@@ -746,3 +746,128 @@ def coding_loop(spark, d):
     """The whole fast loop over the documents: codes in the order they were admitted."""
     state, _ = loop.run(t.responses(spark, d).select("response_id", "content"), KEYWORDS)
     return spark.createDataFrame([(k, r, c) for k, (r, c) in enumerate(state.created)], "place int, response_id bigint, code string")
+
+
+# ---- small operators over whole tables -------------------------------------------------------------------------
+
+
+@query(f"WITH {CODES} SELECT code_id, name, description, parent_id FROM c")
+def codebook_sorted(spark, d):
+    return codebook.sorted_codes(t.codebook(spark, d))
+
+
+@query(f"WITH {CODES} SELECT code_id, name, description, parent_id FROM c WHERE parent_id = 'p-brand11'")
+def codebook_children(spark, d):
+    return codebook.children_of(t.codebook(spark, d), "p-brand11")
+
+
+@query(f"WITH {CODES} SELECT code_id, name, 'D1' AS check_id, 'WARN' AS severity, 'codebook' AS scope, name AS subject, 'no description' AS message, code_id AS data FROM c WHERE description = ''")
+def findings_by_code(spark, d):
+    codes = t.codebook(spark, d)
+    bare = codes.where("description = ''")
+    found = bare.select(F.lit("D1").alias("check_id"), F.lit("WARN").alias("severity"), F.lit("codebook").alias("scope"), F.col("name").alias("subject"), F.lit("no description").alias("message"), F.col("code_id").alias("data"))
+    return checks.by_code(found, codes)
+
+
+@query("SELECT doc_id AS response_id, substr(sha256(coalesce(text, '')), 1, 16) AS content_hash FROM documents")
+def response_hashes(spark, d):
+    return t.responses(spark, d).select("response_id", names.content_hash(F.coalesce("content", F.lit(""))).alias("content_hash"))
+
+
+@query(f"WITH {CODES} SELECT name, 'code-' || substr(sha256(name), 1, 16) AS id FROM c")
+def code_ids(spark, d):
+    return t.codebook(spark, d).select("name", names.code_id("name").alias("id"))
+
+
+@query("SELECT doc_id AS response_id, regexp_matches(source, '[A-Z]') AS upper, lower(trim(regexp_replace(source, '\\s+', ' ', 'g'))) AS key FROM documents")
+def match_keys(spark, d):
+    return t.responses(spark, d).select("response_id", F.col("source").rlike("[A-Z]").alias("upper"), udfs.match_key(spark)("source").alias("key"))
+
+
+@query("SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_name || ', ' || p_type), '[a-z0-9_]+'), '|') AS words FROM part")
+def word_tokens(spark, d):
+    words = udfs.lift(spark, "array<string>", kernels.word_tokens)
+    return t.table(spark, d, "part").select("p_partkey", F.array_join(words(F.concat("p_name", F.lit(", "), "p_type")), "|").alias("words"))
+
+
+@query("SELECT p_partkey, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS longest FROM part")
+def shared_word_runs(spark, d):
+    """The longest run of words that a part's name shares with a text around it: the whole name."""
+    run = udfs.longest_shared_run(spark)
+    return t.table(spark, d, "part").select("p_partkey", run(F.col("p_name"), F.array(F.concat_ws(" ", "p_type", "p_name", "p_brand"))).alias("longest"))
+
+
+@query("SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_brand || '-' || p_name || '_' || p_type), '[^-_]+'), '|') AS tokens FROM part")
+def label_token_lists(spark, d):
+    label = F.lower(F.concat("p_brand", F.lit("-"), "p_name", F.lit("_"), "p_type"))
+    return t.table(spark, d, "part").select("p_partkey", F.array_join(texts.label_tokens(label), "|").alias("tokens"))
+
+
+@query("SELECT DISTINCT unnest(json_keys(props)) AS key FROM events")
+def metadata_keys(spark, d):
+    return occurrence.metadata_keys(t.table(spark, d, "events").select(F.from_json("props", "map<string,string>").alias("meta")))
+
+
+def _renames(spark, d) -> DataFrame:
+    """Orders as applied operations that rename one code each, the orders of a customer being a run."""
+    payload = F.concat(F.lit('{"renamed": {"c-'), F.col("o_orderkey").cast("string"), F.lit('": "n-'), F.col("o_orderkey").cast("string"), F.lit('"}}'))
+    return t.table(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("event_id"), F.lit("operation_applied").alias("event"), payload.alias("payload"))
+
+
+@query("SELECT o_custkey AS run_id, 'c-' || o_orderkey AS old_id, 'n-' || o_orderkey AS new_id FROM orders")
+def renamed_ids(spark, d):
+    return eventlog.renamed_ids(_renames(spark, d))
+
+
+@query("SELECT 'order ' || l_orderkey AS old_name, 'n-' || l_orderkey AS new_id FROM (SELECT DISTINCT l_orderkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey")
+def code_lineage(spark, d):
+    key = F.col("l_orderkey").cast("string")
+    before = t.table(spark, d, "lineitem").select("l_orderkey").distinct().select(F.concat(F.lit("c-"), key).alias("code_id"), F.concat(F.lit("order "), key).alias("name"))
+    return timeline.lineage(before, eventlog.renamed_ids(_renames(spark, d)))
+
+
+@query(f"WITH {LOG}, x AS (SELECT run_id, event_id, event, k, last_value(CASE WHEN event = 'judge_consulted' THEN event_id END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM l) SELECT x.run_id, x.event_id AS decided_event, s AS started FROM x WHERE event = 'checkpoint_evaluated' AND s IS NOT NULL")
+def checkpoint_markers(spark, d):
+    """Purchases as decided checkpoints, each with the last error before it as its start."""
+    e = t.audit(spark, d).withColumn("payload", F.when(F.col("event") == "judge_consulted", F.col("event_id").cast("string")).otherwise(F.col("payload")))
+    named = e.withColumn("event", F.when(F.col("event") == "judge_consulted", "checkpoint_started").when(F.col("event") == "checkpoint_evaluated", "checkpoint_decided").otherwise(F.col("event")))
+    return timeline.checkpoints(named).where("started_payload is not null").select("run_id", "decided_event", F.col("started_payload").cast("long").alias("started"))
+
+
+@query("""SELECT event_id AS response_id, event_type AS name, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def parsed_replies(spark, d):
+    """Events as a model's fenced replies: one object each, its candidates read out."""
+    k = F.get_json_object("props", "$.k")
+    reply = F.concat(F.lit('```json\n{"codes": [{"name": " '), "event_type", F.lit(' ", "description": "'), k, F.lit('", "evidence": ["q"]}, {"evidence": []}, 5]}\n```'))
+    read = udfs.lift(spark, "array<struct<name:string,description:string>>", lambda text, key: [{"name": c["name"], "description": c["description"]} for c in providers.parse_candidates(providers.parse_object(text), int(key))])
+    rows = t.table(spark, d, "events").where(k.isNotNull()).select(F.col("event_id").alias("response_id"), F.explode(read(reply, F.col("event_id").cast("string"))).alias("c"))
+    return rows.select("response_id", "c.name", F.col("c.description").cast("long").alias("k"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'merge' ELSE 'rename' END AS type, 'c-' || o_custkey AS target FROM orders WHERE o_orderstatus <> 'P'")
+def parsed_operations(spark, d):
+    """Orders as scripts of the slow loop; those of a type that does not exist are left out."""
+    kind = F.when(F.col("o_orderstatus") == "F", "merge").when(F.col("o_orderstatus") == "O", "rename").otherwise("invent")
+    reply = F.concat(F.lit('{"operations": [{"type": "'), kind, F.lit('", "targets": ["c-'), F.col("o_custkey").cast("string"), F.lit('"]}]}'))
+    read = udfs.lift(spark, "array<struct<type:string,target:string>>", lambda text: [{"type": o["type"], "target": o["targets"][0]} for o in providers.parse_operations(providers.parse_object(text))])
+    return t.table(spark, d, "orders").select("o_orderkey", F.explode(read(reply)).alias("o")).select("o_orderkey", "o.type", "o.target")
+
+
+@query("""WITH x AS (SELECT conv_id AS response_id, role AS coder, turn AS ordinal, CASE WHEN turn % 3 = 0 THEN '' ELSE 'turn ' || turn END AS name, turn % 2 AS quoted FROM conversations)
+SELECT response_id, coder, ordinal, name FROM x WHERE name <> '' AND quoted = 1""")
+def candidates_in_shape(spark, d):
+    """Turns as candidates: every third has no name, every second no evidence."""
+    x = t.table(spark, d, "conversations").select(F.col("conv_id").alias("response_id"), F.col("role").alias("coder"), F.col("turn").alias("ordinal"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("turn "), F.col("turn").cast("string"))).alias("name"), F.lit("d").alias("description"))
+    proof = x.where("ordinal % 2 = 1").select(*checks.KEY, F.lit("q").alias("quote"))
+    return checks.s1_schema(x, proof)[0].select(*checks.KEY, "name")
+
+
+@query("""WITH n AS (SELECT user_id AS response_id, count(DISTINCT event_type) AS score FROM events GROUP BY 1) SELECT doc_id AS response_id, text, coalesce(score, 0) AS score FROM documents LEFT JOIN n ON doc_id = response_id""")
+def scored_from_assignments(spark, d):
+    occ = t.table(spark, d, "events").select(F.col("user_id").alias("response_id"), F.col("event_type").alias("code"))
+    return lexical.scored_from_assignments(t.table(spark, d, "documents").select(F.col("doc_id").alias("response_id"), "text"), occ)
+
+
+@query(f"WITH {B} SELECT x.code AS code_a, y.code AS code_b, z.code AS code_c, count(*) AS support FROM a x JOIN a y USING (response_id) JOIN a z USING (response_id) WHERE x.code < y.code AND y.code < z.code GROUP BY 1, 2, 3 HAVING count(*) >= 2")
+def basket_triples_all(spark, d):
+    return occurrence.all_frequent_triples(occurrence.occurrence(t.baskets(spark, d)))

@@ -82,7 +82,11 @@ def _split(book: Book, op: dict) -> None:
     code, parts = _get(book, op["targets"][0]), op["payload"].get("into", [])
     if len(parts) < 2:
         raise OperationError("a split needs two parts")
-    made = [new_code(p["name"], p.get("description", ""), code["parent_id"]) for p in parts]
+    if len({p["name"].casefold() for p in parts}) < len(parts):
+        raise OperationError("two parts of a split have one name")
+    # a part may stand under a parent of its own
+    parents = [_get(book, p["parent_id"])["id"] if p.get("parent_id") else code["parent_id"] for p in parts]
+    made = [new_code(p["name"], p.get("description", ""), up) for p, up in zip(parts, parents)]
     claims = [({q for q in p.get("quotes", [])}, set(p.get("response_ids", []))) for p in parts]
     for e in code["evidence"]:  # the first claim holds, what nobody claims goes to the first part
         k = next((k for k, (quotes, ids) in enumerate(claims) if e[1] in quotes or e[0] in ids), 0)
