@@ -7,10 +7,12 @@ the method alone cannot find those pairs (README: the share it finds). So each c
 min-hashes: two classes of similarity s (shared shingles by all shingles of both) have one of them at least in common with
 probability 1 - (1 - s^ROWS)^BANDS, which is 0.9997 at 0.8.
 
-Classes with a common fingerprint are a bucket. First all of a bucket are compared with its least class; whoever is still apart
-from most of the bucket is then compared with all of it. So every pair of a bucket is compared or connected by others, and a
-large group of near copies takes comparisons in proportion to its size. Links are decided by the sets alone; components are
-found over classes.
+Classes with a common fingerprint are a bucket. First all of a bucket are compared with its least class. Whoever is still apart
+from most of its bucket is then joined, by prefix, with all classes of such buckets: shingles are ordered from the rarest on, and two
+sets of similarity s have one of the first (1 - s) of each in common, at places that leave enough of both behind them. This is
+exact, so every pair of a bucket is compared, connected by others or known to be apart, but pairs that differ in their rare
+shingles are never made, and a large group of loose copies takes no comparisons of all with all. Links are decided by the sets
+alone; components are found over classes.
 
 Defined cases: upper and lower case of ASCII are equal; null and empty texts are one class; fewer words than a shingle has are
 one shingle; other columns are not read; an empty table gives an empty result.
@@ -19,13 +21,14 @@ one shingle; other columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm import simhash
 from codeloom.llm.common import arrow_rows, compact, cut, named, with_key
 from codeloom.llm.components import components
 from codeloom.llm.simhash import SEED
+from codeloom.operators.joins import hot_join
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bits in which linked fingerprints of the trie differ at most.
@@ -130,6 +133,31 @@ def _verified(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, words: int
     return cut(arrow_rows(both, ["a", "b", "x", "y"], "a long, b long", each), "links")
 
 
+def _prefix_pairs(open_: DataFrame, classes: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of classes with other labels, one of them apart, among which are all pairs of at least `similarity`. open_:
+    (cls, label, apart)."""
+    texts = keyed.join(open_.join(classes.select("cls", "key.*"), "cls"), ["kid", "kth"]).dropDuplicates(["cls"])
+
+    def each(batch) -> dict:
+        own = [shingles(t.as_py(), words).view(np.int64) for t in batch.column(3)]
+        return {"cls": batch.column(0), "label": batch.column(1), "apart": batch.column(2), "n": [len(x) for x in own], "own": own}
+
+    sets = arrow_rows(texts, ["cls", "label", "apart", "text"], "cls long, label long, apart boolean, n long, own array<long>", each)
+    held = cut(sets.select("cls", "label", "apart", "n", F.explode("own").alias("token")), "shingles", keyed)
+    common = held.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = hot_join(held, common.withColumn("rank", F.col("k")), ["token"], "k", held.count())
+    # shingles of one class alone come first in the order and join nothing
+    of = Window.partitionBy("cls")
+    place = F.row_number().over(of.orderBy("rank", "token")) + F.col("n") - F.count(F.lit(1)).over(of)
+    first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    prefix = cut(shared.select("cls", "label", "apart", "n", "token", place.alias("place")).where(F.col("place") <= first), "prefix")
+    x, y = (prefix.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "label", "apart", "n", "place")]) for side in ("x", "y"))
+    rest = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) + 1
+    fits = (rest >= similarity / (1 + similarity) * (F.col("x_n") + F.col("y_n")) - 1e-6) & (F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n") - 1e-6)
+    met = x.where("x_apart").join(y, "token").where(F.col("x_label") != F.col("y_label")).where(fits)
+    return met.select(F.greatest("x_cls", "y_cls").alias("a"), F.least("x_cls", "y_cls").alias("b")).distinct()
+
+
 def links(classes: DataFrame, keyed: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) between classes (cls, key, fp, bands, low), connecting what similar pairs among the candidates connect. keyed: (kid,
     kth, text) of every row."""
@@ -143,11 +171,12 @@ def links(classes: DataFrame, keyed: DataFrame, words: int = WORDS, similarity:
     label = F.coalesce("component", "cls").alias("label")
     found = held.where("n > 2").join(components(edges), F.col("cls") == F.col("node"), "left").select("bucket", "cls", "centre", label)
     most = found.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
-    open_ = cut(found.where("cls <> centre").join(most.where("labels > 1").select("bucket", F.col("most.label").alias("most")), "bucket"), "open")
-    x = open_.where("label <> most").select("bucket", F.col("cls").alias("p"), F.col("label").alias("of"))
-    more = x.join(open_, "bucket").where("of <> label").select(F.greatest("p", "cls").alias("a"), F.least("p", "cls").alias("b")).distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    return edges.union(_verified(more, classes, keyed, words, similarity)) if more.limit(1).count() else edges
+    left = found.where("cls <> centre").join(most.where("labels > 1").select("bucket", F.col("most.label").alias("most")), "bucket")
+    open_ = cut(left.groupBy("cls", "label").agg(F.max(F.col("label") != F.col("most")).alias("apart")), "open")
+    if not open_.where("apart").limit(1).count():
+        return edges
+    more = cut(_prefix_pairs(open_, classes, keyed, words, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    return edges.union(_verified(more, classes, keyed, words, similarity))
 
 
 def representatives(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -64,3 +64,36 @@ def test_clashing_columns_are_kept(spark):
     for got in (cp.drop_near_duplicates(spark, docs, ""), simhash.representatives(docs)):
         assert got.columns == docs.columns
         assert sorted(tuple(r) for r in got.collect()) == [(1, rows[0][1], 7, 8, 9, 10, "x", 11), (3, rows[2][1], 7, 8, 9, 10, "x", 11)]
+
+
+def test_loose_copies_of_one_text_are_linked_as_by_brute_force(spark):
+    r = random.Random(8)
+    text = [f"w{r.randint(0, 5000)}" for _ in range(120)]
+    rows = [(0, " ".join(text))]
+    for k in range(1, 90):  # similarities of 0.3 to 0.95, so most are no links though they share fingerprints
+        other = list(text)
+        for _ in range(r.randint(1, 9)):
+            other[r.randrange(len(other))] = f"x{r.randint(0, 20)}"
+        rows.append((k, " ".join(other)))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).repartition(4)
+    kept = sorted(r["doc_id"] for r in nc.representatives(docs).collect())
+    assert kept == sorted(brute(rows))
+    assert 1 < len(kept) < 80
+
+
+def test_prefix_pairs_hold_all_similar_pairs(spark):
+    r = random.Random(9)
+    base = [[f"w{r.randint(0, 400)}" for _ in range(60)] for _ in range(6)]
+    texts = []
+    for k in range(60):
+        t = list(base[k % 6])
+        for _ in range(r.randint(0, 4)):
+            t[r.randrange(len(t))] = f"y{r.randint(0, 9)}"
+        texts.append(" ".join(t[: r.randint(50, 60)]))
+    keyed = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "kid long, kth long, text string")
+    classes = keyed.selectExpr("kid as cls", "named_struct('kid', kid, 'kth', kth) as key")
+    open_ = keyed.selectExpr("kid as cls", "kid as label", "kid % 2 = 0 as apart")
+    got = {tuple(x) for x in nc._prefix_pairs(open_, classes, keyed, 5, 0.8).collect()}
+    sets = [nc.shingles(t) for t in texts]
+    want = {(a, b) for a in range(60) for b in range(a) if (a % 2 == 0 or b % 2 == 0) and nc.similar(sets[a], sets[b], 0.8)}
+    assert want and want <= got
