@@ -10,9 +10,9 @@ probability 1 - (1 - s^ROWS)^BANDS, which is 0.9997 at 0.8.
 Classes with a common fingerprint are a bucket. First all of a bucket are compared with its least class. Whoever is still apart
 from most of its bucket is then joined, by prefix, with all classes of such buckets: shingles are ordered from the rarest on, and two
 sets of similarity s have one of the first (1 - s) of each in common, at places that leave enough of both behind them. This is
-exact, so every pair of a bucket is compared, connected by others or known to be apart, but pairs that differ in their rare
-shingles are never made, and a large group of loose copies takes no comparisons of all with all. Links are decided by the sets
-alone; components are found over classes.
+exact, so every pair of a bucket is compared, connected by others or known to be apart, and pairs that differ in their rare
+shingles are never made. Work still grows with the square of the classes that stay apart though they have a frequent shingle in their
+prefixes. Links are decided by the sets alone; components are found over classes.
 
 Defined cases: upper and lower case of ASCII are equal; null and empty texts are one class; fewer words than a shingle has are
 one shingle; other columns are not read; an empty table gives an empty result.
