@@ -36,6 +36,8 @@ BUDGET = 3
 BANDS, ROWS = 20, 5
 #: By how much the share of equal min-hashes may fall short of the similarity.
 MARGIN = 0.2
+#: Ratio of the sizes of sets in neighbouring bins.
+BIN = 1.05
 #: Shingles whose min-hashes are taken at a time.
 CHUNK = 2048
 _DRAW = np.random.default_rng(SEED)
@@ -152,9 +154,17 @@ def _prefix_pairs(open_: DataFrame, classes: DataFrame, keyed: DataFrame, words:
     first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
     prefix = cut(shared.select("cls", "label", "apart", "n", "token", place.alias("place")).where(F.col("place") <= first), "prefix")
     x, y = (prefix.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "label", "apart", "n", "place")]) for side in ("x", "y"))
+    # how many shingles a partner may have at most, by what x has left; sizes are dealt into bins, which the join takes as a key
+    widest = (1 + similarity) / similarity * (F.col("x_n") - F.col("x_place") + 1) - F.col("x_n") + 1e-6
+    size_bin = lambda n: F.floor(F.log(n) / float(np.log(BIN))).cast("int")
+    smallest = F.greatest(F.lit(1.0), similarity * F.col("x_n") - 1e-6)
+    x = x.where("x_apart").where(widest >= smallest).withColumn("bin", F.explode(F.sequence(size_bin(smallest), size_bin(widest))))
+    y = y.withColumn("bin", size_bin(F.col("y_n").cast("double")))
     rest = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) + 1
     fits = (rest >= similarity / (1 + similarity) * (F.col("x_n") + F.col("y_n")) - 1e-6) & (F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n") - 1e-6)
-    met = x.where("x_apart").join(y, "token").where(F.col("x_label") != F.col("y_label")).where(fits)
+    # of two that are apart, the larger one looks for the smaller
+    once = ~F.col("y_apart") | (F.struct("x_n", "x_cls") > F.struct("y_n", "y_cls"))
+    met = x.join(y, ["token", "bin"]).where(F.col("x_label") != F.col("y_label")).where(fits & once)
     return met.select(F.greatest("x_cls", "y_cls").alias("a"), F.least("x_cls", "y_cls").alias("b")).distinct()
 
 
