@@ -7,7 +7,9 @@ the method alone cannot find those pairs (README: the share it finds). So each c
 min-hashes: two classes of similarity s (shared shingles by all shingles of both) have one of them at least in common with
 probability 1 - (1 - s^ROWS)^BANDS, which is 0.9997 at 0.8.
 
-Classes with a common fingerprint are a bucket. First all of a bucket are compared with its least class. Whoever is still apart
+Classes with a common fingerprint are a bucket. First all of a bucket are compared with its least class. Where a bucket's classes
+are then in several components, they are put in an order by chance and each is compared with the next REACH, a number of pairs in
+proportion to the classes, which connects most of a group that has no centre. Whoever is still apart
 from most of its bucket is then joined, by prefix, with all classes of such buckets: shingles are ordered from the rarest on, and two
 sets of similarity s have one of the first (1 - s) of each in common, at places that leave enough of both behind them. This is
 exact, so every pair of a bucket is compared, connected by others or known to be apart, and pairs that differ in their rare
@@ -36,6 +38,8 @@ BUDGET = 3
 BANDS, ROWS = 20, 5
 #: By how much the share of equal min-hashes may fall short of the similarity.
 MARGIN = 0.2
+#: How many of the next classes of its bucket a class is compared with, and classes that are put in order together.
+REACH, PART = 2, 1000
 #: Ratio of the sizes of sets in neighbouring bins.
 BIN = 1.05
 #: Shingles whose min-hashes are taken at a time.
@@ -168,24 +172,50 @@ def _prefix_pairs(open_: DataFrame, classes: DataFrame, keyed: DataFrame, words:
     return met.select(F.greatest("x_cls", "y_cls").alias("a"), F.least("x_cls", "y_cls").alias("b")).distinct()
 
 
+def _undecided(held: DataFrame, edges: DataFrame) -> DataFrame:
+    """(bucket, cls, centre, n, label, most) of the buckets whose classes are in several components; most: the label that most have."""
+    label = F.coalesce("component", "cls").alias("label")
+    found = cut(held.where("n > 2").join(components(edges), F.col("cls") == F.col("node"), "left").select("bucket", "cls", "centre", "n", label), "found")
+    sizes = found.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("times"))
+    of = cut(most.where("labels > 1").select("bucket", F.col("most.label").alias("most"), "times"), "several")
+    return cut(hot_join(found, of, ["bucket"], "times", found.count()), "undecided")
+
+
+def _open(undecided: DataFrame) -> DataFrame:
+    """(cls, label, apart) of their classes, but for those that all of a bucket have been compared with."""
+    return cut(undecided.where("cls <> centre").groupBy("cls", "label").agg(F.max(F.col("label") != F.col("most")).alias("apart")), "open")
+
+
+def _chained(undecided: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with other labels that are at most REACH places apart in their bucket's order. Each bucket has an
+    order of its own, by hash, and a large one is dealt into parts."""
+    chance = F.xxhash64("cls", "bucket")
+    of = Window.partitionBy("bucket", F.pmod(chance, F.ceil(F.col("n") / PART))).orderBy(F.xxhash64("bucket", "cls"))
+    near = [F.lead(F.struct("cls", "label"), k).over(of) for k in range(1, REACH + 1)]
+    met = undecided.select("cls", "label", F.array(*near).alias("next")).select("cls", "label", F.explode("next").alias("other")).where("label <> other.label")
+    return met.select(F.greatest("cls", "other.cls").alias("a"), F.least("cls", "other.cls").alias("b")).distinct()
+
+
 def links(classes: DataFrame, keyed: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) between classes (cls, key, fp, bands, low), connecting what similar pairs among the candidates connect. keyed: (kid,
     kth, text) of every row."""
     under = classes.select("cls", F.explode("bands").alias("bucket"))
     size = under.groupBy("bucket").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = cut(under.join(size, "bucket"), "buckets")
+    held = cut(hot_join(under, size.withColumn("times", F.col("n")), ["bucket"], "times", BANDS * classes.count()), "buckets")
     starred = held.where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b"))
     pairs = cut(starred.union(_trie_pairs(classes)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     edges = _verified(pairs, classes, keyed, words, similarity)
 
-    label = F.coalesce("component", "cls").alias("label")
-    found = held.where("n > 2").join(components(edges), F.col("cls") == F.col("node"), "left").select("bucket", "cls", "centre", label)
-    most = found.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
-    left = found.where("cls <> centre").join(most.where("labels > 1").select("bucket", F.col("most.label").alias("most")), "bucket")
-    open_ = cut(left.groupBy("cls", "label").agg(F.max(F.col("label") != F.col("most")).alias("apart")), "open")
+    undecided = _undecided(held, edges)
+    if not _open(undecided).where("apart").limit(1).count():
+        return edges
+    chained = cut(_chained(undecided).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    edges = edges.union(_verified(chained, classes, keyed, words, similarity))
+    open_ = _open(_undecided(undecided.drop("label", "most"), edges))
     if not open_.where("apart").limit(1).count():
         return edges
-    more = cut(_prefix_pairs(open_, classes, keyed, words, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = cut(_prefix_pairs(open_, classes, keyed, words, similarity).join(pairs.union(chained), ["a", "b"], "left_anti"), "pairs")
     return edges.union(_verified(more, classes, keyed, words, similarity))
 
 

@@ -97,3 +97,13 @@ def test_prefix_pairs_hold_all_similar_pairs(spark):
     sets = [nc.shingles(t) for t in texts]
     want = {(a, b) for a in range(60) for b in range(a) if (a % 2 == 0 or b % 2 == 0) and nc.similar(sets[a], sets[b], 0.8)}
     assert want and want <= got
+
+
+def test_chained_pairs_grow_with_the_classes_and_skip_equal_labels(spark):
+    # 300 classes in one bucket, of which the odd ones are one component already, and a bucket of one component
+    rows = [(1, c, 0, 300, 1 if c % 2 else c, 1) for c in range(300)] + [(2, c, 1000, 50, 1000, 1000) for c in range(1000, 1050)]
+    held = spark.createDataFrame(rows, "bucket long, cls long, centre long, n long, label long, most long")
+    pairs = {(r["a"], r["b"]) for r in nc._chained(held).collect()}
+    assert all(a > b and not (a % 2 and b % 2) for a, b in pairs)
+    assert 300 < len(pairs) <= 300 * nc.REACH
+    assert all(a < 300 for a, _ in pairs)
