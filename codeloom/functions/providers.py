@@ -179,16 +179,29 @@ class KeywordCoder:
 CANDIDATE = "response_id bigint, coder string, ordinal int, name string, description string, quotes array<string>"
 
 
-def code_responses(responses: DataFrame, coders: list[KeywordCoder]) -> DataFrame:
-    """Candidates of every coder for responses (response_id, content)."""
+def code_responses(responses: DataFrame, coders: list[KeywordCoder], threshold: float | None = None) -> DataFrame:
+    """Candidates of every coder for responses (response_id, content). With a threshold, each also says whether one of its quotes
+    is found in its response (proved), and has a mark per quote: the quote where the description copies it, else empty. So
+    neither needs the texts again."""
     ship(responses.sparkSession)
 
+    def judged(c: dict, body: str) -> dict:
+        key = kernels.match_key(c["description"] or "")
+        found = any(q and kernels.normalise(q) and kernels.locate(q, body, threshold)[0] for q in c["quotes"])
+        return c | {"proved": found, "marks": [q if key and kernels.match_key(q) == key else "" for q in c["quotes"]]}
+
+    more = [] if threshold is None else ["proved", "marks"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [c for i, t in zip(b["response_id"], b["content"]) for coder in coders for c in coder.candidates(i, t or "")]
-            yield pd.DataFrame(rows, columns=["response_id", "coder", "ordinal", "name", "description", "quotes"])
-
-    return responses.select("response_id", "content").mapInPandas(run, CANDIDATE)
+            rows = []
+            for i, t in zip(b["response_id"], b["content"]):
+                made = [c for coder in coders for c in coder.candidates(i, t or "")]
+                body = kernels.normalise(t or "") if more else ""
+                rows += [judged(c, body) for c in made] if more else made
+            yield pd.DataFrame(rows, columns=["response_id", "coder", "ordinal", "name", "description", "quotes", *more])
+
+    return responses.select("response_id", "content").mapInPandas(run, CANDIDATE + (", proved boolean, marks array<string>" if more else ""))
 
 
 @dataclass(frozen=True)

@@ -89,8 +89,7 @@ def accept(candidates: DataFrame, settings: RunSettings) -> DataFrame:
     """Candidates of both coders that hold: agreed ones once, with the evidence of both; grey and disputed ones and those of
     one coder unless a judge drops them."""
     spark = candidates.sparkSession
-    vector = udfs.lexical_vector(spark)
-    v = candidates.withColumn("vector", vector(code_text("name", "description")))
+    v = candidates.withColumn("text", code_text("name", "description"))
     by = {c: v.where(F.col("coder") == c) for c in ("A", "B")}
     pairs = match(by["A"], by["B"], "response_id", settings.rules.tau_high, settings.rules.tau_low, dissolve=False)
     rule = DigestJudge("KEEP", "DROP", 80)
@@ -105,21 +104,22 @@ def accept(candidates: DataFrame, settings: RunSettings) -> DataFrame:
     return agreed.unionByName(apart.where(keep("name")))
 
 
-def run(responses: DataFrame, table: dict[str, tuple[str, ...]], settings: RunSettings = RunSettings(), halt: bool = False) -> tuple[RunState, DataFrame]:
-    """Code a corpus (response_id, content) batch by batch; returns the state and the M1 agreement rates per response."""
+def run(responses: DataFrame, table: dict[str, tuple[str, ...]], settings: RunSettings = RunSettings(), halt: bool = False, quotes: bool = True) -> tuple[RunState, DataFrame]:
+    """Code a corpus (response_id, content) batch by batch; returns the state and the M1 agreement rates per response. Quotes are
+    looked up in their response when it is coded. Without `quotes` they go no further than that, and the state has no assignments;
+    codes are admitted all the same."""
     spark = responses.sparkSession
     coders = [KeywordCoder(table, "A"), KeywordCoder(table, "B", fallback="other-misc")]
     first = segments.duplicates(responses).where("duplicate_of is null").select("response_id")
     fresh = responses.join(first, "response_id", "left_semi")
     batch_of = batches(fresh, settings.batch_size)
-    found = code_responses(fresh, coders)
+    found = code_responses(fresh, coders, settings.rules.fuzzy_threshold)
+    found = found if quotes else found.withColumn("quotes", F.array().cast("array<string>"))
     found = found.checkpoint() if spark.sparkContext.getCheckpointDir() else found.persist()
-    evidence = found.select("response_id", "coder", "ordinal", F.explode("quotes").alias("quote"))
-    kept, s1 = checks.s1_schema(found, evidence)
-    located = checks.s2_locate(evidence, fresh, settings.rules).where("found")
-    proved = kept.join(located.select(*checks.KEY).distinct(), checks.KEY, "left_semi")
+    kept, s1 = checks.s1_schema(found, found.select(*checks.KEY, F.explode("marks").alias("quote")))
+    proved = kept.where("proved").drop("proved", "marks")
     accepted = accept(proved, settings)
-    v = proved.withColumn("vector", udfs.lexical_vector(spark)(code_text("name", "description")))
+    v = proved.withColumn("text", code_text("name", "description"))
     rates = agreement_rate(match(v.where("coder = 'A'"), v.where("coder = 'B'"), "response_id", settings.rules.tau_high, settings.rules.tau_low, dissolve=False), "response_id")
     ordered = accepted.join(batch_of, "response_id").orderBy("batch", "response_id", "name")
     state, coded, since = RunState(findings=s1.count()), 0, 0

@@ -190,3 +190,14 @@ def test_streaming_growth_equals_batch(spark, tmp_path):
     s = sg.first_seen(sg.read_assignments(spark, str(where), 10)).writeStream.outputMode("complete").format("memory").queryName("seen").trigger(availableNow=True).start()
     s.awaitTermination(120)
     assert spark.table("seen").count() == 8
+
+
+def test_loop_without_quotes_admits_the_same_codes(spark):
+    texts_ = ["We use the tools every day. They save us time.", "The tools are slow! Nobody likes them.", "Time is money, they say.", None, "Mentions of tool use."]
+    r = spark.createDataFrame(list(enumerate(texts_)), "response_id long, content string")
+    table = {"tool-use": ("tools", "tool"), "time-saved": ("time",)}
+    (whole, _), (bare, _) = (loop.run(r, table, quotes=q) for q in (True, False))
+    assert bare.created == whole.created and whole.created and bare.findings == whole.findings
+    assert whole.assignments and not bare.assignments
+    plan = pv.code_responses(r, [pv.KeywordCoder(table, "A")], 0.85).collect()
+    assert plan and all(c["proved"] and len(c["marks"]) == len(c["quotes"]) for c in plan)
