@@ -172,14 +172,16 @@ def _prefix_pairs(open_: DataFrame, classes: DataFrame, keyed: DataFrame, words:
     return met.select(F.greatest("x_cls", "y_cls").alias("a"), F.least("x_cls", "y_cls").alias("b")).distinct()
 
 
-def _undecided(held: DataFrame, edges: DataFrame) -> DataFrame:
-    """(bucket, cls, centre, n, label, most) of the buckets whose classes are in several components; most: the label that most have."""
+def _undecided(held: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(bucket, cls, centre, n, label, most) of the buckets whose classes are in several components; most: the label that most have.
+    None if there is no such bucket. labels: (node, component)."""
     label = F.coalesce("component", "cls").alias("label")
-    found = cut(held.where("n > 2").join(components(edges), F.col("cls") == F.col("node"), "left").select("bucket", "cls", "centre", "n", label), "found")
+    found = cut(held.where("n > 2").join(labels, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "centre", "n", label), "found")
     sizes = found.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("times"))
     of = cut(most.where("labels > 1").select("bucket", F.col("most.label").alias("most"), "times"), "several")
-    return cut(hot_join(found, of, ["bucket"], "times", found.count()), "undecided")
+    rows, heaviest = of.agg(F.sum("times"), F.max("times")).first()
+    return cut(hot_join(found, of, ["bucket"], "times", rows, heaviest=heaviest), "undecided") if rows else None
 
 
 def _open(undecided: DataFrame) -> DataFrame:
@@ -197,26 +199,33 @@ def _chained(undecided: DataFrame) -> DataFrame:
     return met.select(F.greatest("cls", "other.cls").alias("a"), F.least("cls", "other.cls").alias("b")).distinct()
 
 
-def links(classes: DataFrame, keyed: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between classes (cls, key, fp, bands, low), connecting what similar pairs among the candidates connect. keyed: (kid,
-    kth, text) of every row."""
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) once edges (a, b) are added to what labels connects."""
+    return components(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges))
+
+
+def labels(classes: DataFrame, keyed: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the classes (cls, key, fp, bands, low) that similar pairs among the candidates connect with others. keyed:
+    (kid, kth, text) of every row."""
     under = classes.select("cls", F.explode("bands").alias("bucket"))
-    size = under.groupBy("bucket").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = cut(hot_join(under, size.withColumn("times", F.col("n")), ["bucket"], "times", BANDS * classes.count()), "buckets")
+    size = cut(under.groupBy("bucket").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    rows, heaviest = size.agg(F.sum("n"), F.max("n")).first()
+    held = cut(hot_join(under, size.withColumn("times", F.col("n")), ["bucket"], "times", rows or 0, heaviest=heaviest or 0), "buckets")
     starred = held.where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b"))
     pairs = cut(starred.union(_trie_pairs(classes)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    edges = _verified(pairs, classes, keyed, words, similarity)
+    found = components(_verified(pairs, classes, keyed, words, similarity))
 
-    undecided = _undecided(held, edges)
-    if not _open(undecided).where("apart").limit(1).count():
-        return edges
+    undecided = _undecided(held, found)
+    if undecided is None or not _open(undecided).where("apart").limit(1).count():
+        return found
     chained = cut(_chained(undecided).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    edges = edges.union(_verified(chained, classes, keyed, words, similarity))
-    open_ = _open(_undecided(undecided.drop("label", "most"), edges))
-    if not open_.where("apart").limit(1).count():
-        return edges
+    found = _joined(found, _verified(chained, classes, keyed, words, similarity))
+    undecided = _undecided(undecided.drop("label", "most"), found)
+    open_ = None if undecided is None else _open(undecided)
+    if open_ is None or not open_.where("apart").limit(1).count():
+        return found
     more = cut(_prefix_pairs(open_, classes, keyed, words, similarity).join(pairs.union(chained), ["a", "b"], "left_anti"), "pairs")
-    return edges.union(_verified(more, classes, keyed, words, similarity))
+    return _joined(found, _verified(more, classes, keyed, words, similarity))
 
 
 def representatives(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -225,7 +234,7 @@ def representatives(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     rows = keyed.select(F.col(key[0]).alias("kid"), F.col(key[1]).alias("kth"), "text")
     own = cut(_sketches(keyed, key, words), "sketches", docs)
     classes = cut(own.groupBy("cls").agg(F.min(F.struct("kid", "kth")).alias("key"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes")
-    found = components(links(classes, rows, words, similarity))
+    found = labels(classes, rows, words, similarity)
     labelled = classes.join(found, classes["cls"] == found["node"], "left").select("key", F.coalesce("component", "cls").alias("label"))
     chosen = labelled.groupBy("label").agg(F.min("key").alias("least")).select(F.col("least.kid").alias(key[0]), F.col("least.kth").alias(key[1]))
     return compact(keyed.join(chosen, key, "left_semi").dropDuplicates(key).select(*named(docs.columns)), docs)

@@ -83,6 +83,19 @@ def test_components_of_long_paths(spark):
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 200: 200, 201: 200, 202: 200}
 
 
+def test_stars_take_no_step(spark, monkeypatch):
+    from codeloom.llm import components as module
+
+    made, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df, label, *a: made.append(label) or cut(df, label, *a))
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame([(5, 1), (1, 7), (9, 8), (4, 4)], "a long, b long")).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 8: 8, 9: 8, 4: 4} and made == ["edges"]
+    # one step makes a path of two edges a star, and none comes after it
+    assert {r["component"] for r in components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()} == {1}
+    assert made[1:].count("small") == 1
+    assert not components(spark.createDataFrame([], "a long, b long")).collect()
+
+
 def test_documents(spark):
     base = " ".join(f"word{k}" for k in range(300))
     rows = [(5, base), (3, base), (9, base.replace("word7 ", "other ")), (4, None), (8, ""), (11, "something else entirely here"), (11, "something else entirely here")]

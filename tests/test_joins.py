@@ -13,6 +13,15 @@ def test_hot_keys_by_broadcast_give_the_rows_of_a_join(spark):
         assert got.columns == ["k", "v", "least"] and sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_a_join_without_a_possible_hot_key_broadcasts_nothing(spark):
+    large = spark.range(3000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    small = large.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hints = lambda df: df._jdf.queryExecution().logical().toString().count("broadcast")
+    assert not hints(hot_join(large, small, ["k"], "n", 3000, 3000))
+    assert not hints(hot_join(large, small, ["k"], "n", 3000, 500, heaviest=429))
+    assert hints(hot_join(large, small, ["k"], "n", 3000, 428, heaviest=429))
+
+
 def test_places_of_sparse_and_dense_ids(spark):
     ids = [*range(50), *(k * 10**15 for k in range(1, 30)), -5, 10**18]
     got = growth.place(spark.createDataFrame([(i,) for i in ids * 2], "response_id long"), bucket=7)
