@@ -56,8 +56,8 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hashlib import sha256
 
     def each(batch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "text")}
-        for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
+        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "n_passages", "n_passage_bytes")}
+        for text, spans, passages in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             data = (text.as_py() or "").encode()
             out["n_bytes"].append(len(data))
             out["n_removed"].append(sum(s["end"] - s["start"] for s in spans))
@@ -65,10 +65,14 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             left = suffix_dedup.kept(data, spans)
             out["kept_sha256"].append(sha256(left).hexdigest())
             out["text"].append(left.decode("utf-8", "ignore"))  # without what is left of cut characters
+            # passages of over 50 words that come again are told of beside the strings of 400 bytes; those under 400 bytes stay in the text
+            out["n_passages"].append(len(passages))
+            out["n_passage_bytes"].append(sum(s["end"] - s["start"] for s in passages))
         return {"doc_id": batch.column(0)} | out
 
-    spans = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
-    return arrow_rows(spans, ["doc_id", "text", "spans"], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string", each)
+    spans = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), words=suffix_dedup.WORDS)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, n_passages long, n_passage_bytes long"
+    return arrow_rows(spans, ["doc_id", "text", "spans", "passages"], schema, each)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,8 @@ from codeloom.llm.superwindows import ANCHOR, anchors, runs
 from codeloom.operators.joins import hot_join
 
 SIZE = 400
+#: Words of a passage, whatever its bytes: over 50.
+WORDS = 51
 #: Runs and suffixes that one task sorts together at most.
 GROUP, SUFFIXES = 2048, 50_000
 #: Orders of the anchors, and parts that a minimizer's runs are joined in.
@@ -333,15 +335,24 @@ def _span_lists(keyed: DataFrame, key: list[str], name: str, size: int, group: i
     return out
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, group: int = GROUP, levels: int = LEVELS) -> DataFrame:
-    """(doc_id, text, spans) of every row: the maximal byte ranges [start, end) to remove, in order."""
+def repeated_spans(docs: DataFrame, size: int = SIZE, group: int = GROUP, levels: int = LEVELS, words: int | None = None) -> DataFrame:
+    """(doc_id, text, spans) of every row: the maximal byte ranges [start, end) to remove, in order. Where words is given, passages
+    too: the maximal byte ranges of whole words in which any `words` words come again in the same order, here or elsewhere,
+    whatever their bytes and the white space between them."""
     keyed, key = with_key(docs.select("doc_id", "text"))
-    joined = keyed.join(_span_lists(keyed, key, "spans", size, group, levels=levels), key, "left")
+    lists, names = _span_lists(keyed, key, "spans", size, group, levels=levels), ["spans"]
+    if words:
+        lists, names = lists.join(_span_lists(keyed, key, "passages", CODE * words, group, Coded(), levels), key, "full"), ["spans", "passages"]
+    joined = keyed.join(lists, key, "left")
 
     def each(batch) -> dict:
-        return {"doc_id": batch.column(0), "text": batch.column(1), "spans": [_spans(x["a"], x["b"]) if x else [] for x in batch.column(2).to_pylist()]}
+        out = {"doc_id": batch.column(0), "text": batch.column(1), "spans": [_spans(x["a"], x["b"]) if x else [] for x in batch.column(2).to_pylist()]}
+        if words:
+            found = zip(batch.column(1), batch.column(3).to_pylist())
+            out["passages"] = [[{"start": a, "end": b} for a, b in word_ranges(text.as_py(), x["a"], x["b"])] if x else [] for text, x in found]
+        return out
 
-    return arrow_rows(joined, ["doc_id", "text", "spans"], "doc_id long, text string, spans array<struct<start:long,end:long>>", each)
+    return arrow_rows(joined, ["doc_id", "text", *names], "doc_id long, text string" + "".join(f", {n} array<struct<start:long,end:long>>" for n in names), each)
 
 
 def _spans(a, b) -> list[dict]:

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 from hashlib import sha256
 
@@ -123,3 +124,46 @@ def test_clashing_columns_and_scripts_without_spaces(spark):
     for x in got.collect():
         assert (x["kid"], x["__kid"], x["__a"], x["spans"], x["KTH"], x["m"], x["a.b"], x["passages"]) == (5, 1, 2, 3, 4, 5, "z", 6)
         assert x["text"].split() == [w for w in rows[x["doc_id"]][1].split() if w != shared]
+
+
+def brute_passages(texts, words):
+    found = [[(m.group(), m.span()) for m in re.finditer(r"\S+", t or "")] for t in texts]
+    windows = lambda ws: [tuple(w for w, _ in ws[k : k + words]) for k in range(len(ws) - words + 1)]
+    seen = Counter(x for ws in found for x in windows(ws))
+    out = []
+    for t, ws in zip(texts, found):
+        hit = np.zeros(len(ws) + 2, dtype=int)
+        for k, x in enumerate(windows(ws)):
+            if seen[x] > 1:
+                hit[k + 1 : k + 1 + words] = 1
+        edges = zip(np.flatnonzero(np.diff(hit) == 1), np.flatnonzero(np.diff(hit) == -1))
+        out.append([len(t[ws[a][1][0] : ws[b - 1][1][1]].encode()) for a, b in edges])
+    return [(len(x), sum(x)) for x in out]
+
+
+def test_query_tells_of_passages_of_over_50_words_under_400_bytes(spark, tmp_path):
+    from codeloom.llm.queries import op6_suffix_dedup
+
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(2, 4))) for _ in range(n))
+    passage, short, other, long = prose(51), prose(50), prose(70), prose(150)
+    texts = [None, "", "x", prose(40)] + [f"{prose(30)} x{k} {passage} y{k} {prose(20)}" for k in range(3)]
+    texts += [f"{prose(30)} x{k} {short} y{k} {prose(20)}" for k in range(3, 6)]
+    # twice in one text, with other white space, next to each other, longer than 400 bytes, a copy of the whole
+    texts += [f"{other} z {prose(9)} {other}", passage.replace(" ", "\n\n"), f"{passage} {other}", f"{long} u", f"v {long}", "one word " * 40, "one word " * 40]
+    spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in op6_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    assert len(passage.encode()) < 400 and got[4]["n_removed"] == 0 and (got[4]["n_passages"], got[4]["n_passage_bytes"]) == (1, len(passage.encode()))
+    for k, (fixed, told) in enumerate(zip(brute(texts, 400), brute_passages(texts, 51))):
+        assert (got[k]["n_bytes"], got[k]["n_removed"], got[k]["n_spans"], got[k]["kept_sha256"]) == fixed, k
+        assert (got[k]["n_passages"], got[k]["n_passage_bytes"]) == told, k
+
+
+@pytest.mark.parametrize(("group", "levels"), [(2048, 4), (3, 4), (3, 1)])
+def test_passages_equal_brute_force(spark, group, levels):
+    texts = corpus(group + levels)
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], DOCS)
+    got = {x["doc_id"]: x["passages"] for x in sd.repeated_spans(docs, 60, group, levels, words=8).collect()}
+    for k, want in enumerate(brute_passages(texts, 8)):
+        assert (len(got[k]), sum(s["end"] - s["start"] for s in got[k])) == want, k
