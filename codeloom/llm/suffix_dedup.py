@@ -26,7 +26,6 @@ result; other columns are not read, and none of their names clashes with those u
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
+from xxhash import xxh64_hexdigest
 
 from codeloom.llm.common import arrow_rows, bound_batches, compact, cut, discard, fresh, named, with_key
-from codeloom.llm.superwindows import ANCHOR, anchors, runs
+from codeloom.llm.superwindows import ANCHOR, Hashes, anchors, runs
 from codeloom.operators.joins import hot_join
 
 SIZE = 400
@@ -46,8 +46,9 @@ WORDS = 51
 GROUP, SUFFIXES = 2048, 50_000
 #: Orders of the anchors, and parts that a minimizer's runs are joined in.
 LEVELS, SALTS = 4, 8
-#: Bytes that stand for a word where passages are counted in words, and words whose bytes are held in memory.
-CODE, MOST_CODES = 4, 100_000
+#: Bytes that stand for a word where passages are counted in words, words that are coded at a time, and characters of a word
+#: beyond which it is long.
+CODE, SLICE_WORDS, LONG_WORD = 4, 8192, 256
 #: Characters of scripts without spaces: South-East Asian, Japanese, Chinese.
 _ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 ALONE, UNIT = re.compile(f"[{_ALONE}]"), re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
@@ -173,18 +174,19 @@ def plain(text: str | None) -> bytes:
     return (text or "").encode()
 
 
-class Coded(dict):
-    """A text as CODE bytes for each of its words, so strings of bytes are strings of words whatever their length."""
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MOST_CODES:
-            self.clear()
-        data = word.encode("utf-8", "surrogatepass")
-        self[word] = code = (zlib.crc32(data) ^ zlib.adler32(data) * 0x9E3779B1 & 0xFFFFFFFF).to_bytes(CODE, "big")
-        return code
-
-    def __call__(self, text: str | None) -> bytes:
-        return b"".join([self[w] for w in units(text or "")])
+def coded(text: str | None) -> bytes:
+    """A text as CODE bytes for each of its words, so strings of bytes are strings of words whatever their length. A word's
+    code is half of the 64-bit hash of its slice of the text; polynomial sums of long strings can collide, so a long word stands
+    as its XXH64."""
+    words, out = units(text or ""), []
+    for k in range(0, len(words), SLICE_WORDS):
+        part = words[k : k + SLICE_WORDS]
+        if max(map(len, part)) > LONG_WORD:
+            part = [w if len(w) <= LONG_WORD else "\0" + xxh64_hexdigest(w.encode("utf-8", "surrogatepass")) for w in part]
+        data = np.frombuffer(" ".join(part).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        blanks = np.flatnonzero(data == 32)
+        out.append((Hashes(data).slices(np.r_[0, blanks + 1], np.r_[blanks, len(data)]) >> np.uint64(32)).astype(">u4").tobytes())
+    return b"".join(out)
 
 
 def units(text: str) -> list[str]:
@@ -342,7 +344,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, group: int = GROUP, levels
     keyed, key = with_key(docs.select("doc_id", "text"))
     lists, names = _span_lists(keyed, key, "spans", size, group, levels=levels), ["spans"]
     if words:
-        lists, names = lists.join(_span_lists(keyed, key, "passages", CODE * words, group, Coded(), levels), key, "full"), ["spans", "passages"]
+        lists, names = lists.join(_span_lists(keyed, key, "passages", CODE * words, group, coded, levels), key, "full"), ["spans", "passages"]
     joined = keyed.join(lists, key, "left")
 
     def each(batch) -> dict:
@@ -371,7 +373,9 @@ def kept(data: bytes, spans: list[dict]) -> bytes:
 def word_ranges(text: str, a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Byte ranges of a text for ranges of its coded bytes: the whole words that lie in them."""
     words = [m.span() for m in (UNIT if ALONE.search(text) else re.compile(r"\S+")).finditer(text)]
-    ends = np.cumsum([0, *[len(c.encode("utf-8", "surrogatepass")) for c in text]]) if not text.isascii() else None
+    data = None if text.isascii() else np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    # where each character begins
+    ends = None if data is None else np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]
     out = []
     for s in _spans(a, b):
         first, last = -(-s["start"] // CODE), s["end"] // CODE - 1
@@ -389,7 +393,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, group: int = GROUP, words
     own = fresh(keyed, "spans", "passages")
     lists = _span_lists(keyed, key, own[0], size, group)
     if words:
-        lists = lists.join(_span_lists(keyed, key, own[1], CODE * words, group, Coded()), key, "full")
+        lists = lists.join(_span_lists(keyed, key, own[1], CODE * words, group, coded), key, "full")
     # columns travel by their place, since a name may hold what a Python function's input cannot
     places = [f"c{k}" for k in range(len(names))]
     joined = keyed.join(lists, key, "left").select(*[c.alias(p) for c, p in zip(named(names), places)], *own[: 2 if words else 1])

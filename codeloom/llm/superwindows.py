@@ -56,6 +56,10 @@ class Hashes:
         n = len(self.sums) - size
         return _mix((self.sums[size:] - self.sums[:n]) * self.down[:n] + _U(size))
 
+    def slices(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The hash of the slice [first, last) for each pair."""
+        return _mix((self.sums[last] - self.sums[first]) * self.down[first] + (last - first).astype(np.uint64))
+
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of every `width` neighbours: prefix and suffix minima of blocks."""

@@ -167,3 +167,16 @@ def test_passages_equal_brute_force(spark, group, levels):
     got = {x["doc_id"]: x["passages"] for x in sd.repeated_spans(docs, 60, group, levels, words=8).collect()}
     for k, want in enumerate(brute_passages(texts, 8)):
         assert (len(got[k]), sum(s["end"] - s["start"] for s in got[k])) == want, k
+
+
+def test_a_word_has_one_code_wherever_it_stands():
+    # beyond a slice of words, long words, equal polynomial sums, scripts without spaces, other white space
+    tm = thue_morse(4096, "a", "b")
+    swapped = tm.translate(str.maketrans("ab", "ba"))
+    one = lambda w: sd.coded(w)
+    assert sd.coded("b c " * 20_000) == (one("b") + one("c")) * 20_000
+    assert sd.coded(f"é {tm}\n{swapped}\xa0日本 x") == b"".join(map(one, ["é", tm, swapped, "日", "本", "x"])) and one(tm) != one(swapped)
+    assert sd.coded(None) == sd.coded(" \n") == b"" and len({one(f"w{k}") for k in range(1000)}) == 1000
+    text = "é日 ü x\U00020000y  ñandú"
+    ranges = [text.encode()[a:b].decode() for k in range(len(sd.units(text))) for a, b in sd.word_ranges(text, [4 * k], [4 * k + 4])]
+    assert ranges == sd.units(text)
