@@ -155,6 +155,11 @@ def parse_description(reply: dict) -> str:
     return kernels.normalise(d) if isinstance(d, str) else ""
 
 
+def pieces(body: str) -> list[tuple[str, frozenset[str]]]:
+    """The segments of a normalised text, each with its words."""
+    return [(q, frozenset(kernels.WORD.findall(q.casefold()))) for a, b in kernels.segment_spans(body) for q in [body[a:b]]]
+
+
 @dataclass(frozen=True)
 class KeywordCoder:
     """A deterministic coder: a segment gets the codes whose keywords it holds, else the persona's fallback. The persona
@@ -166,11 +171,13 @@ class KeywordCoder:
     most: int = 12
 
     def candidates(self, response_id: int, text: str) -> list[dict]:
-        body, found = kernels.normalise(text), {}
-        for a, b in kernels.segment_spans(body):
-            quote = body[a:b]
-            tokens = set(kernels.word_tokens(quote))
-            names = [n for n, words in self.table.items() if tokens & set(words)] or [self.fallback]
+        return self.of(response_id, pieces(kernels.normalise(text)))
+
+    def of(self, response_id: int, parts: list[tuple[str, frozenset[str]]]) -> list[dict]:
+        """Candidates from a response's pieces, which all coders share."""
+        found, known = {}, [(n, frozenset(words)) for n, words in self.table.items()]
+        for quote, tokens in parts:
+            names = [n for n, words in known if not words.isdisjoint(tokens)] or [self.fallback]
             for n in names[:2]:
                 found.setdefault(n, []).append(quote)
         return [{"response_id": response_id, "coder": self.persona, "ordinal": k, "name": n, "description": f"Mentions of {n.replace('-', ' ').replace('_', ' ')}.", "quotes": q} for k, (n, q) in enumerate(sorted(found.items())[: self.most])]
@@ -179,6 +186,18 @@ class KeywordCoder:
 CANDIDATE = "response_id bigint, coder string, ordinal int, name string, description string, quotes array<string>"
 
 
+def proved(candidate: dict, body: str, threshold: float) -> bool:
+    """Whether one of a candidate's quotes is found in its response, whose text is normalised."""
+    return any(q and kernels.normalise(q) and kernels.locate(q, body, threshold)[0] for q in candidate["quotes"])
+
+
+def code_response(response_id: int, text: str | None, coders: list[KeywordCoder]) -> tuple[list[dict], str]:
+    """Candidates of every coder for one response, and its normalised text."""
+    body = kernels.normalise(text or "")
+    parts = pieces(body)
+    return [c for coder in coders for c in coder.of(response_id, parts)], body
+
+
 def code_responses(responses: DataFrame, coders: list[KeywordCoder], threshold: float | None = None) -> DataFrame:
     """Candidates of every coder for responses (response_id, content). With a threshold, each also says whether one of its quotes
     is found in its response (proved), and has a mark per quote: the quote where the description copies it, else empty. So
@@ -187,8 +206,7 @@ def code_responses(responses: DataFrame, coders: list[KeywordCoder], threshold:
 
     def judged(c: dict, body: str) -> dict:
         key = kernels.match_key(c["description"] or "")
-        found = any(q and kernels.normalise(q) and kernels.locate(q, body, threshold)[0] for q in c["quotes"])
-        return c | {"proved": found, "marks": [q if key and kernels.match_key(q) == key else "" for q in c["quotes"]]}
+        return c | {"proved": proved(c, body, threshold), "marks": [q if key and kernels.match_key(q) == key else "" for q in c["quotes"]]}
 
     more = [] if threshold is None else ["proved", "marks"]
 
@@ -196,8 +214,7 @@ def code_responses(responses: DataFrame, coders: list[KeywordCoder], threshold:
         for b in batches:
             rows = []
             for i, t in zip(b["response_id"], b["content"]):
-                made = [c for coder in coders for c in coder.candidates(i, t or "")]
-                body = kernels.normalise(t or "") if more else ""
+                made, body = code_response(i, t, coders)
                 rows += [judged(c, body) for c in made] if more else made
             yield pd.DataFrame(rows, columns=["response_id", "coder", "ordinal", "name", "description", "quotes", *more])
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.config import CodingRules
-from codeloom.functions import udfs
+from codeloom.functions import kernels, udfs
 from codeloom.functions.names import family_of, grammar_reasons, sub_of
 from codeloom.functions.texts import interval_jaccard, sentence_count, squeeze, word_count
 from codeloom.operators.codebook import _finding
@@ -49,6 +49,19 @@ def s1_schema(candidates: DataFrame, evidence: DataFrame) -> tuple[DataFrame, Da
     ])
 
 
+def s1_markers(name: str | None, description: str | None, quotes: list[str]) -> list[str]:
+    """The markers of the findings that s1_schema has for one candidate; it is kept if its name and evidence are not missing."""
+    nameless, unproved = not (name or "").strip(" "), not quotes
+    if nameless or unproved:
+        return ["missing_name"] * nameless + ["missing_evidence"] * unproved
+    key = kernels.match_key(description or "")
+    if not key:
+        return ["missing_description"]
+    # a plain quote that begins otherwise needs no folding
+    like = lambda q: not (q.isascii() and q.lstrip()[:1].lower() != key[:1]) and kernels.match_key(q) == key
+    return ["description_copies_quote"] if any(like(q or "") for q in quotes) else []
+
+
 def s2_locate(evidence: DataFrame, responses: DataFrame, rules: CodingRules = CodingRules()) -> DataFrame:
     """Evidence with where its quote stands in the normalised response: found, score, start, end. Exact hits stay in the
     JVM; only what is not found exactly goes through the window search."""

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,44 @@ def test_loop_without_quotes_admits_the_same_codes(spark):
     assert whole.assignments and not bare.assignments
     plan = pv.code_responses(r, [pv.KeywordCoder(table, "A")], 0.85).collect()
     assert plan and all(c["proved"] and len(c["marks"]) == len(c["quotes"]) for c in plan)
+
+
+def test_loop_does_not_grow_on_the_driver_with_the_corpus(spark, monkeypatch):
+    seen, compared = [], []
+    integrate, near = loop.integrate, loop.near_duplicate_pairs
+    monkeypatch.setattr(loop, "integrate", lambda accepted, *rest: (seen.extend(accepted), integrate(accepted, *rest))[1])
+    monkeypatch.setattr(loop, "near_duplicate_pairs", lambda state, tau: (compared.append(len(state.names)), near(state, tau))[1])
+    r = spark.createDataFrame([(k, f"It saves time, case {k}. The work gets faster; trust the data of day {k}.") for k in range(1, 201)], "response_id long, content string")
+    state, rates = loop.run(r, TABLE, RunSettings(batch_size=2), quotes=False)
+    assert len(state.handovers) == 100 and sum(h["new_codes"] for h in state.handovers) == len(state.names)
+    assert 0 < len(seen) == len(state.created) < 10 and len(compared) == len(set(compared)) <= len(state.names)
+    assert rates.count() == 200
+
+
+def test_openings_are_those_of_all_candidates_in_order(spark):
+    rng, settings = random.Random(3), RunSettings()
+    words = ["time", "save", "work", "load", "trust", "data"]
+    kinds = sorted({("-".join(rng.sample(words, 2)), f"Mentions of {' '.join(rng.sample(words, 2))}.") for _ in range(40)})
+    later = 0
+    for trial in range(4):
+        rows = sorted((k // 4 + 1, k, *kind) for k in range(60) for kind in rng.sample(kinds, 2))
+        want, got = loop.RunState(), loop.RunState()
+        for batch, i, name, description in rows:
+            loop.integrate([{"response_id": i, "name": name, "description": description, "quotes": []}], want, settings)
+        df = spark.createDataFrame(rows, "batch long, response_id long, name string, description string").repartition(3)
+        first = {}
+        for _, i, name, description in rows:
+            first.setdefault((name, description), i)
+        for c in loop.openings(df, got, settings):
+            assert c["batch"] == c["response_id"] // 4 + 1
+            later += c["response_id"] > first[c["name"], c["description"]]
+            loop.integrate([c], got, settings)
+        assert got.created == want.created and got.names == want.names and len(want.names) > 5
+    assert later  # some were merged when they first came, and made codes after the codebook had changed
+
+
+def test_loop_with_more_kinds_than_the_driver_looks_through(spark, monkeypatch):
+    few, _ = loop.run(responses(spark), TABLE, quotes=False)
+    monkeypatch.setattr(loop, "MOST_KINDS", 1)
+    many, _ = loop.run(responses(spark), TABLE, quotes=False)
+    assert many.created == few.created and many.handovers == few.handovers and few.created

@@ -297,3 +297,19 @@ def test_lexical_validation(spark):
 
 def test_rules_are_values():
     assert CodingRules(tau_high=0.9).tau_high == 0.9 and CodingRules() == CodingRules()
+
+
+def test_markers_of_one_candidate_are_those_of_the_schema_check(spark):
+    quotes = [[], ["Said  it"], ["ＳAID it", "x"], ["", "other"], ["  said it"], ["é said it"]]
+    made = [(1, "A", k, n, d, q) for k, (n, d, q) in enumerate((n, d, q) for n in ("fam-x", "", "  ", "\t") for d in ("said it", "", " ", "İ", "Straße") for q in [*quotes, ["STRASSE"], ["i̇"]])]
+    c = spark.createDataFrame(made, "response_id long, coder string, ordinal int, name string, description string, quotes array<string>")
+    kept, found = checks.s1_schema(c.drop("quotes"), c.select(*checks.KEY, F.explode("quotes").alias("quote")))
+    own = [checks.s1_markers(n, d, q) for *_, n, d, q in made]
+    assert rows(found.select(F.get_json_object("data", "$.marker").alias("m")), "m") == sorted((m,) for marks in own for m in marks)
+    assert rows(kept, "ordinal") == [(k,) for k, marks in enumerate(own) if not {"missing_name", "missing_evidence"} & {*marks}]
+
+
+def test_firsts_are_the_responses_without_a_former(spark):
+    r = spark.createDataFrame([(3, "a  b"), (1, "c"), (2, "a b "), (4, None), (9, ""), (5, "C"), (7, "c"), (None, "lone")], "response_id long, content string")
+    assert rows(segments.firsts(r), "response_id") == [(1,), (2,), (4,), (5,)]
+    assert rows(segments.firsts(r), "response_id") == rows(segments.duplicates(r).where("duplicate_of is null and response_id is not null"), "response_id")
